@@ -20,8 +20,8 @@ def cells(rows: DataFrame, ident: str, block: int) -> DataFrame:
     count per key is combined before its shuffle.
     """
     spark = rows.sparkSession
-    counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    nb = F.ceil(F.col("n") / F.lit(block)).cast("int")
+    counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1")
+    nb = F.ceil(F.col("_rows") / F.lit(block)).cast("int")
     b = F.pmod(F.xxhash64(F.col(ident)), nb.cast("bigint")).cast("int")
     met = (
         rows.join(counts, "key")
@@ -31,7 +31,7 @@ def cells(rows: DataFrame, ident: str, block: int) -> DataFrame:
         .withColumn("ci", F.least("b", "j"))
         .withColumn("cj", F.greatest("b", "j"))
         .withColumn("side", (F.col("b") == F.col("cj")).cast("int"))
-        .drop("n", "nb", "b", "j")
+        .drop("_rows", "nb", "b", "j")
     )
     return met.repartition(partitions(spark), "key", "ci", "cj").sortWithinPartitions("key", "ci", "cj")
 
