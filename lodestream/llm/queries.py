@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import counts, decontaminate, embeddings, packing, sharding, simhash, warc
+from . import counts, decontaminate, embeddings, packing, quality, sharding, simhash, suffixes, warc
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard(table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -31,6 +35,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -39,5 +47,15 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op1_token_counts": op1_token_counts, "op2_simhash": op2_simhash, "op3_packing": op3_packing, "op5_sharding": op5_sharding, "op6_decontamination": op6_decontamination, "op8_warc": op8_warc, "op10_embeddings": op10_embeddings}
+QUERIES = {
+    "op1_token_counts": op1_token_counts,
+    "op2_simhash": op2_simhash,
+    "op3_packing": op3_packing,
+    "op4_quality": op4_quality,
+    "op5_sharding": op5_sharding,
+    "op6_decontamination": op6_decontamination,
+    "op7_suffixes": op7_suffixes,
+    "op8_warc": op8_warc,
+    "op10_embeddings": op10_embeddings,
+}
 ORACLES: dict[str, str] = {"op1_token_counts": counts.ORACLE, "op6_decontamination": decontaminate.oracle()}
