@@ -170,7 +170,7 @@ def features(rows: DataFrame, *keep: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(x, pa.list_(pa.float64()))], [*keep, "x"])
 
     chosen = rows.select(*keep, F.col("text").cast("string"))
-    return chosen.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in chosen.schema if f.name in keep) + ", x array<double>")
+    return chosen.mapInArrow(run, ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in chosen.schema if f.name in keep] + ["x array<double>"]))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
@@ -187,7 +187,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     if not y.any():
         return constant(prior)
     ids = first(docs.select("doc_id").distinct())
-    free = features(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text"), ).toArrow()  # likewise
+    free = features(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text")).toArrow()  # likewise
     u = np.array(free.column("x").to_pylist(), float).reshape(-1, FEATURES)
     model = fit(np.concatenate([x[y == 1], u]), np.concatenate([np.ones(y.sum()), np.zeros(len(u))]), prior)
     return calibrate(model, x, y)

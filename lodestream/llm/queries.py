@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import counts, decontaminate, embeddings, packing, quality, sharding, simhash, suffixes, warc
+from . import counts, decontaminate, embeddings, katz, packing, quality, sharding, simhash, suffixes, warc
 from .common import table
 
 
@@ -43,6 +43,10 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op9_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -56,6 +60,7 @@ QUERIES = {
     "op6_decontamination": op6_decontamination,
     "op7_suffixes": op7_suffixes,
     "op8_warc": op8_warc,
+    "op9_katz": op9_katz,
     "op10_embeddings": op10_embeddings,
 }
 ORACLES: dict[str, str] = {"op1_token_counts": counts.ORACLE, "op6_decontamination": decontaminate.oracle()}
