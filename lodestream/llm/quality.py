@@ -208,6 +208,19 @@ def score(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
     return out.withColumn("predicted", (F.col("score") >= cut).cast("int"))
 
 
+def accepted(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
+    """The rows of docs that the model predicts to be good, in one scan."""
+
+    def run(batches):
+        for b in batches:
+            for s in range(0, b.num_rows, 256):
+                part = b.slice(s, 256)
+                p = model.score(np.array([shape(t) for t in part.column("text").to_pylist()]))
+                yield part.filter(pa.array(p >= cut))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2) -> DataFrame:
     """(doc_id, held_out, score, predicted); labels of held-out ids are not looked at."""
     model = train(docs, labels.where(crc_class("doc_id", folds) != held_out))

@@ -201,8 +201,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = DISTANCE)
 
 
 def deduplicate(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its group; repeated doc_ids count once."""
+    """docs without the rows whose doc_id is not the smallest of its group.
+
+    Rows that repeat a kept doc_id, and rows with a null one, stay.
+    """
     near = near_duplicates(docs, shingle)
-    keep = near.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    first = docs.dropDuplicates(["doc_id"])
-    return first.join(keep, first.doc_id == keep._kept, "left_semi")
+    gone = near.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")

@@ -478,8 +478,9 @@ def windows_found(table: pa.Table, n_doc_parts: int, length: int) -> pa.Table:
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def cut_out(left: pa.Table, right: pa.Table, with_kept: bool) -> pa.Table:
-    ids, whole = left.column("doc_id").to_pylist(), utf8(left.column("text"))
+def cut_out(left: pa.Table, right: pa.Table, rewrite: bool) -> pa.Table:
+    """What is left of a part's documents: digests, or their rows with the text rewritten."""
+    ids, whole = left.column("_id").to_pylist(), [t or b"" for t in utf8(left.column("text"))]
     taking = taking_part(ids, whole)
     join = lambda c: np.concatenate([np.frombuffer(x, np.int64) for x in right.column(c).to_pylist()] or [np.zeros(0, np.int64)])
     d, a, z = merged(join("docs"), join("starts"), join("ends"))
@@ -496,15 +497,27 @@ def cut_out(left: pa.Table, right: pa.Table, with_kept: bool) -> pa.Table:
             at = y
             gone += y - x
         kept.append(t[at:])
-        rest = b"".join(kept)
-        out.append((i, len(t), gone, e - s, hashlib.sha256(rest).hexdigest(), *([rest] if with_kept else [])))
-    kinds = [pa.int64()] * 4 + [pa.string()] + [pa.binary()] * with_kept
-    names = [f.split()[0] for f in RESULT.split(", ")] + ["kept"] * with_kept
-    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * len(kinds), kinds)], names=names)
-
-
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_kept: bool = False) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) of every document."""
+        # characters that were cut into are dropped from rewritten texts
+        out.append("".join(k.decode("utf-8", "ignore") for k in kept) if rewrite else (i, len(t), gone, e - s, hashlib.sha256(b"".join(kept)).hexdigest()))
+    if not rewrite:
+        kinds = [pa.int64()] * 4 + [pa.string()]
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 5, kinds)], names=[f.split()[0] for f in RESULT.split(", ")])
+    left = left.drop_columns(["_id", "part"])
+    same = [t is None for t in left.column("text").to_pylist()]
+    new = pa.array([None if s else t for s, t in zip(same, out)], left.schema.field("text").type)
+    left = left.set_column(left.schema.get_field_index("text"), "text", new)
+    if "n_chars" in left.column_names:
+        n = pa.array([None if t is None else len(t) for t in new.to_pylist()], left.schema.field("n_chars").type)
+        left = left.set_column(left.schema.get_field_index("n_chars"), "n_chars", n)
+    return left
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, rewrite: bool = False) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every document.
+
+    rewrite: the rows of docs instead, with the bytes gone from text and n_chars
+    counted again.
+    """
     spark = docs.sparkSession
     parts = partitions(spark)
     n_doc_parts = parts | 1
@@ -517,5 +530,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
     found = materialize(sent.groupBy("q").applyInArrow(lambda t: windows_found(t, n_doc_parts, length), "part int, docs binary, starts binary, ends binary"))
     drop(shared)
     release(spark)
-    schema = RESULT + (", kept binary" if with_kept else "")
-    return placed.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(lambda l, r: cut_out(l, r, with_kept), schema)
+    own = (docs if rewrite else base).withColumn("_id", F.col("doc_id").cast("long"))
+    own = own.withColumn("part", F.coalesce(F.pmod("_id", F.lit(n_doc_parts)), F.lit(0)).cast("int"))
+    schema = docs.schema if rewrite else RESULT
+    return own.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(lambda l, r: cut_out(l, r, rewrite), schema)
