@@ -38,30 +38,32 @@ def differencing(sizes: list[int], m: int) -> list[list[int]]:
     """Item numbers of each of m windows, by largest differencing.
 
     A partial partition is its non-zero windows, ascending by load, above
-    m - len(...) empty ones.
+    m - len(...) empty ones. A window is load << 40 | the number of the tree
+    that holds its items.
     """
-    heap = [(-s, i, [(s, (i,))]) for i, s in enumerate(sizes)]
+    trees: list = list(range(len(sizes)))
+    low = (1 << 40) - 1
+    heap = [(-s, i, [s << 40 | i]) for i, s in enumerate(sizes)]
     heapq.heapify(heap)
     ticket = len(heap)
     while len(heap) > 1:
         _, _, a = heapq.heappop(heap)
         _, _, b = heapq.heappop(heap)
-        if len(a) + len(b) <= m:
-            merged = a + b
-        else:
-            # the fullest of a meet the emptiest of b: the overlap is len(a) + len(b) - m windows
-            over = len(a) + len(b) - m
-            low, high = a[:over], b[:over]
-            merged = [(x[0] + y[0], (x[1], y[1])) for x, y in zip(low, reversed(high))] + a[over:] + b[over:]
-        merged.sort(key=lambda w: w[0])
-        spread = merged[-1][0] - (merged[0][0] if len(merged) == m else 0)
+        # the emptiest of a meet the fullest of b: as many as there are windows too many
+        over = max(0, len(a) + len(b) - m)
+        merged = a[over:] + b[over:]
+        for x, y in zip(a[:over], b[:over][::-1]):
+            trees.append((x & low, y & low))
+            merged.append(((x >> 40) + (y >> 40)) << 40 | len(trees) - 1)
+        merged.sort()
+        spread = (merged[-1] >> 40) - (merged[0] >> 40 if len(merged) == m else 0)
         heapq.heappush(heap, (-spread, ticket, merged))
         ticket += 1
     out = []
-    for _, tree in heap[0][2] if heap else []:
-        flat, stack = [], [tree]
+    for w in heap[0][2] if heap else []:
+        flat, stack = [], [w & low]
         while stack:
-            x = stack.pop()
+            x = trees[stack.pop()]
             if isinstance(x, int):
                 flat.append(x)
             else:
