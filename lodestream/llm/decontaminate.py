@@ -86,8 +86,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, simila
 
 def remove(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs without a verified overlap."""
-    hit = overlaps(docs, benchmark).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("_hit")), "left_anti")
+    hit = overlaps(docs, benchmark).select(F.col("doc_id").alias("_lodestream_hit")).distinct()
+    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("_lodestream_hit")), "left_anti")
 
 
 ORACLE = r"""

@@ -206,5 +206,5 @@ def deduplicate(docs: DataFrame, shingle: int = 4) -> DataFrame:
     Rows that repeat a kept doc_id, and rows with a null one, stay.
     """
     near = near_duplicates(docs, shingle)
-    gone = near.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = near.where("doc_id <> component_id").select(F.col("doc_id").alias("_lodestream_gone")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("_lodestream_gone"), "left_anti")

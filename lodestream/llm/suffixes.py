@@ -475,12 +475,14 @@ def windows_found(table: pa.Table, n_doc_parts: int, length: int) -> pa.Table:
     return pa.table({"part": pa.array([r[0] for r in rows], pa.int32())} | {n: pa.array([r[k] for r in rows], pa.binary()) for k, n in ((1, "docs"), (2, "starts"), (3, "ends"))})
 
 
+#: Names that a table of documents won't have.
+ID, PART = "_lodestream_id", "_lodestream_part"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
 def cut_out(left: pa.Table, right: pa.Table, rewrite: bool) -> pa.Table:
     """What is left of a part's documents: digests, or their rows with the text rewritten."""
-    ids, whole = left.column("_id").to_pylist(), [t or b"" for t in utf8(left.column("text"))]
+    ids, whole = left.column(ID).to_pylist(), [t or b"" for t in utf8(left.column("text"))]
     taking = taking_part(ids, whole)
     join = lambda c: np.concatenate([np.frombuffer(x, np.int64) for x in right.column(c).to_pylist()] or [np.zeros(0, np.int64)])
     d, a, z = merged(join("docs"), join("starts"), join("ends"))
@@ -502,7 +504,7 @@ def cut_out(left: pa.Table, right: pa.Table, rewrite: bool) -> pa.Table:
     if not rewrite:
         kinds = [pa.int64()] * 4 + [pa.string()]
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 5, kinds)], names=[f.split()[0] for f in RESULT.split(", ")])
-    left = left.drop_columns(["_id", "part"])
+    left = left.drop_columns([ID, PART])
     same = [t is None for t in left.column("text").to_pylist()]
     new = pa.array([None if s else t for s, t in zip(same, out)], left.schema.field("text").type)
     left = left.set_column(left.schema.get_field_index("text"), "text", new)
@@ -530,7 +532,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, rewr
     found = materialize(sent.groupBy("q").applyInArrow(lambda t: windows_found(t, n_doc_parts, length), "part int, docs binary, starts binary, ends binary"))
     drop(shared)
     release(spark)
-    own = (docs if rewrite else base).withColumn("_id", F.col("doc_id").cast("long"))
-    own = own.withColumn("part", F.coalesce(F.pmod("_id", F.lit(n_doc_parts)), F.lit(0)).cast("int"))
+    own = (docs if rewrite else base).withColumn(ID, F.col("doc_id").cast("long"))
+    own = own.withColumn(PART, F.coalesce(F.pmod(ID, F.lit(n_doc_parts)), F.lit(0)).cast("int"))
     schema = docs.schema if rewrite else RESULT
-    return own.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(lambda l, r: cut_out(l, r, rewrite), schema)
+    return own.groupBy(PART).cogroup(found.groupBy("part")).applyInArrow(lambda l, r: cut_out(l, r, rewrite), schema)
