@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules with QUERIES {name: (spark, sf_dir) -> DataFrame} and ORACLES {name: sql}.
-MODULES = ("lodestream.operators.series", "lodestream.operators.fits", "lodestream.operators.traj", "lodestream.operators.gate", "lodestream.operators.extract", "lodestream.functions.scalars", "lodestream.operators.provenance")
+MODULES = ("lodestream.operators.series", "lodestream.operators.fits", "lodestream.operators.traj", "lodestream.operators.gate", "lodestream.operators.extract", "lodestream.functions.scalars", "lodestream.operators.provenance", "lodestream.plans.columns")
 
 
 def queries() -> dict:
