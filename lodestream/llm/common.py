@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import sys
 import tempfile
+import time
 import types
 import uuid
 
@@ -58,9 +59,15 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove the shuffle files of finished phases."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark's cleaner remove the shuffle files of finished phases before the next one writes its own.
+
+    The cleaner works in the background on what garbage collection reports, in
+    Python first and then in the JVM.
+    """
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def worker_cache() -> dict:
