@@ -10,17 +10,23 @@ def words(t):
     return [w for w in re.split(r"[^\w]+|_", (t or "").lower()) if w]
 
 
+def seeds_of(w):
+    at = {}
+    for m in dec.MASKS:
+        for i in range(len(w) - len(m) + 1):
+            at.setdefault((m, *(w[i + x] for x, c in enumerate(m) if c == "1")), []).append(i)
+    return at
+
+
 def slow(docs, items):
-    """Every alignment that shares a seed, verified."""
+    """Every alignment that shares a seed, verified; seeds are compared as words, not as hashes."""
     out = {}
+    held = [(k, words(t), seeds_of(words(t))) for k, t in items]
     for d, text in docs:
         w = words(text)
-        for k, item in items:
-            b = words(item)
-            for o in range(-len(b), len(w)):
-                seed = any(all(0 <= q + o + x < len(w) and q + x < len(b) and w[q + o + x] == b[q + x] for x, c in enumerate(m) if c == "1") and 0 <= q + o and q + o + len(m) <= len(w) and q + len(m) <= len(b) for m in dec.MASKS for q in range(len(b)))
-                if not seed:
-                    continue
+        at = seeds_of(w)
+        for k, b, own in held:
+            for o in {i - q for s in own.keys() & at.keys() for i in at[s] for q in own[s]}:
                 same = [w[o + x] == b[x] for x in range(max(0, -o), min(len(b), len(w) - o))]
                 span = min(dec.WINDOW, len(b))
                 best = max((sum(same[p : p + span]) for p in range(len(same) - span + 1)), default=0)

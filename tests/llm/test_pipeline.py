@@ -49,7 +49,7 @@ def test_stages_against_brute_force(spark, tmp_path):
             assert len(text.encode()) >= len(t) - want[i][1] - 6 * want[i][2]
     # 4: no benchmark passage is left
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if len(words(r.text)) >= 5]
-    hit = {d for d, _ in slow_overlaps([(i, r.text) for i, r in tables["repeats"].items() if any(w in r.text for _, b in items for w in [b.split()[5]])], items)}
+    hit = {d for d, _ in slow_overlaps([(i, r.text) for i, r in tables["repeats"].items()], items)}
     assert set(tables["benchmark"]) == set(tables["repeats"]) - hit
     # 5: pieces rebuild the ids
     encoder = tokens.Encoder(tokens.default_tokenizer())
