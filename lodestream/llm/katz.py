@@ -237,7 +237,7 @@ def score(docs: DataFrame, train) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("text").cast("string").alias("text"),
         F.coalesce(train, F.lit(False)).alias("train"),
-        F.coalesce(F.pmod(F.col("doc_id").cast("long"), F.lit(parts | 1)), F.lit(0)).cast("int").alias("part"),
+        F.coalesce(F.pmod(F.col("doc_id").cast("long"), F.lit(3 * parts // 2 | 1)), F.lit(0)).cast("int").alias("part"),
     )
     counts = materialize(placed.groupBy("part").applyInArrow(lambda t: first_ask(t, parts), ASK).groupBy("q").applyInArrow(lambda t: first_answer(t), ANSWER))
     release(spark)
