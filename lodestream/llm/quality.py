@@ -208,83 +208,6 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return calibrate(model, x, y)
 
 
-def score(self, x: np.ndarray) -> np.ndarray:
-        return _sigmoid(self.slope * self.raw(x) + self.shift)
-
-
-def constant(p: float) -> Model:
-    k = FEATURES + FEATURES * (FEATURES + 1) // 2 + 1
-    return Model(np.zeros(FEATURES), np.ones(FEATURES), np.zeros(k), 0.0, float(np.log(p / (1 - p))))
-
-
-def fit(x: np.ndarray, y: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, ridge: float = 1e-4) -> Model:
-    """x: features; y: 1 for trusted positives, 0 for unlabelled."""
-    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-3
-    z = expand(np.clip((x - mean) / scale, -6, 6))
-    p, u = z[y == 1], z[y == 0]
-    w = np.zeros(z.shape[1])
-    m, v = np.zeros_like(w), np.zeros_like(w)
-    for t in range(1, steps + 1):
-        gp, gu = p @ w, u @ w
-        sp, su = _sigmoid(gp), _sigmoid(gu)
-        negative = _soft(gu).mean() - prior * _soft(gp).mean()
-        grad = prior * (p.T @ (sp - 1)) / len(p) + ridge * w
-        if negative >= 0:
-            grad = grad + (u.T @ su) / len(u) - prior * (p.T @ sp) / len(p)
-        m = 0.9 * m + 0.1 * grad
-        v = 0.999 * v + 0.001 * grad * grad
-        w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return Model(mean, scale, w, 1.0, 0.0)
-
-
-def calibrate(model: Model, x: np.ndarray, y: np.ndarray) -> Model:
-    """Slope (kept positive) and shift of the score's log-odds, by Newton steps on labelled rows."""
-    g = model.raw(x)
-    centre, width = g.mean(), g.std() + 1e-6
-    q = np.stack([(g - centre) / width, np.ones_like(g)], axis=1)
-    target = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
-    a = np.array([1.0, 0.0])
-    for _ in range(50):
-        s = _sigmoid(q @ a)
-        h = (q * (s * (1 - s))[:, None]).T @ q + 1e-3 * np.eye(2)
-        a = a - np.linalg.solve(h, q.T @ (s - target) + 1e-3 * (a - [1, 0]))
-    a[0] = max(a[0], 1e-3)
-    model.slope, model.shift = a[0] / width, a[1] - a[0] * centre / width
-    return model
-
-
-def features(rows: DataFrame, *keep: str) -> DataFrame:
-    """(keep..., x): x the shape features."""
-
-    def run(batches):
-        for b in batches:
-            x = [shape(t) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(x, pa.list_(pa.float64()))], [*keep, "x"])
-
-    chosen = rows.select(*keep, F.col("text").cast("string"))
-    return chosen.mapInArrow(run, ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in chosen.schema if f.name in keep] + ["x array<double>"]))
-
-
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Labels are taken as given: leave out of `labels` what must not be learned from."""
-    marks = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    first = lambda d: d.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    labelled = first(docs.select("doc_id", "text").join(marks, "doc_id").select("doc_id", "quality", "text"))
-    got = features(labelled, "quality").toArrow()  # at most `sample` rows of FEATURES numbers
-    y = np.array(got.column("quality").to_pylist(), int)
-    x = np.array(got.column("x").to_pylist(), float).reshape(-1, FEATURES)
-    if not len(y):
-        return constant(0.5)
-    prior = float(np.clip(y.mean(), 0.01, 0.99))
-    if not y.any():
-        return constant(prior)
-    ids = first(docs.select("doc_id").distinct())
-    free = features(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text")).toArrow()  # likewise
-    u = np.array(free.column("x").to_pylist(), float).reshape(-1, FEATURES)
-    model = fit(np.concatenate([x[y == 1], u]), np.concatenate([np.ones(y.sum()), np.zeros(len(u))]), prior)
-    return calibrate(model, x, y)
-
-
 def score(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
     """(doc_id, score, predicted) of every row of docs."""
 
