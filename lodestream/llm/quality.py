@@ -20,7 +20,7 @@ is a few thousand numbers.
 Never inputs of a score: labels, lang, source and doc_id.
 
 Defined results: a null or empty text has features zero and is scored like any
-other; repeated rows are scored alike; labels that are null, or rows without
+other; repeated rows are scored alike and learned from once per doc_id; labels that are null, or rows without
 a label, are unlabelled; if there is no positive training label every score is
 the prior, and if there are no labels at all it is 0.5; an empty table gives no
 rows; extra columns are ignored.
@@ -185,6 +185,11 @@ def sampled(ids: DataFrame, sample: int) -> DataFrame:
     return few.orderBy("_h", "doc_id").limit(sample).drop("_h")
 
 
+def one_each(rows: DataFrame, *keep: str) -> DataFrame:
+    """(keep..., x) once per doc_id, so that repeats of an id cannot outgrow the sample."""
+    return rows.groupBy("doc_id", *keep).agg(F.min("x").alias("x")).select(*keep, "x")
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Labels are taken as given: leave out of `labels` what must not be learned from."""
     marks = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
@@ -192,7 +197,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     texts = docs.select("doc_id", "text")
     # both sides that are broadcast have at most `sample` rows of two numbers
     labelled = texts.join(F.broadcast(sampled(ids.join(marks, "doc_id"), sample)), "doc_id")
-    got = features(labelled, "quality").toArrow()
+    got = one_each(features(labelled, "doc_id", "quality"), "quality").toArrow()
     y = np.array(got.column("quality").to_pylist(), int)
     x = np.array(got.column("x").to_pylist(), float).reshape(-1, FEATURES)
     if not len(y):
@@ -200,7 +205,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     prior = float(np.clip(y.mean(), 0.01, 0.99))
     if not y.any():
         return constant(prior)
-    free = features(texts.join(F.broadcast(sampled(ids, sample)), "doc_id").select("text")).toArrow()
+    free = one_each(features(texts.join(F.broadcast(sampled(ids, sample)), "doc_id"), "doc_id")).toArrow()
     u = np.array(free.column("x").to_pylist(), float).reshape(-1, FEATURES)
     order = np.lexsort(x.T)  # rows come in any order; sums must not depend on it
     x, y, u = x[order], y[order], u[np.lexsort(u.T)]
