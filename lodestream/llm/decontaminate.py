@@ -14,8 +14,10 @@ changed.
 
 The scan, the seeds and the lookup are one generated stage: words are split
 once per document, positions and masks are expanded inside it, and only hits
-leave it. The benchmark side is broadcast only while its tokens are under
-`broadcast_tokens`; beyond that the document seeds are shuffled to it.
+leave it. Seeds name their item by a 64-bit key, so an item's words are held
+once. The benchmark side is broadcast only while it has at most
+`broadcast_tokens` words of `broadcast_bytes` in all; beyond that document seeds
+are shuffled to it and nothing is gathered by seed.
 
 Words are lower-cased runs of letters and digits. Defined results: null or
 empty texts match nothing; items of fewer than five words are never matched;
@@ -33,7 +35,8 @@ from pyspark.sql import functions as F
 MASKS = ("11111", "1101011", "11100101", "101101001")
 WINDOW = 13
 SIMILARITY = 0.8
-BROADCAST_TOKENS = 400_000
+BROADCAST_TOKENS = 200_000
+BROADCAST_BYTES = 16 << 20
 
 
 def words(text: Column) -> Column:
@@ -54,22 +57,28 @@ def seeds(rows: DataFrame, *keep: str) -> DataFrame:
     return at.select(*keep, "w", "i", F.explode(hashed).alias("seed")).where("seed is not null")
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, similarity: float = SIMILARITY, broadcast_tokens: int = BROADCAST_TOKENS) -> DataFrame:
+def overlaps(
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, similarity: float = SIMILARITY, broadcast_tokens: int = BROADCAST_TOKENS, broadcast_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
     """(doc_id, item_id, matched, compared): the best window of each verified overlap."""
-    items = benchmark.select(F.col("item_id").alias("item_id"), words(F.col("text")).alias("w"))
-    size = items.agg(F.coalesce(F.sum(F.size("w")), F.lit(0))).first()[0]
-    small = size <= broadcast_tokens
-    held = seeds(items, "item_id").groupBy("seed").agg(F.collect_set(F.struct("item_id", F.col("i").alias("q"), F.col("w").alias("item"))).alias("hits"))
+    items = benchmark.select(F.col("item_id"), words(F.col("text")).alias("item")).withColumn("k", F.xxhash64("item_id", "item"))
+    size = items.agg(F.coalesce(F.sum(F.size("item")), F.lit(0)), F.coalesce(F.sum(F.octet_length(F.concat_ws(" ", "item"))), F.lit(0))).first()
+    small = size[0] <= broadcast_tokens and size[1] <= broadcast_bytes
+    # seeds name their item by a key; its words are held once
+    known = items.dropDuplicates(["k"])
+    held = seeds(known.select("k", F.col("item").alias("w")), "k").select("seed", "k", F.col("i").alias("q"))
     texts = docs.select("doc_id", words(F.col("text")).alias("w"))
     if small:
-        met = seeds(texts, "doc_id").join(F.broadcast(held), "seed")
+        lists = held.groupBy("seed").agg(F.collect_list(F.struct("k", "q")).alias("hits"))
+        met = seeds(texts, "doc_id").join(F.broadcast(lists), "seed").select("doc_id", "w", "i", F.explode("hits").alias("h"))
+        aligned = met.select("doc_id", "w", (F.col("i") - F.col("h.q")).alias("start"), F.col("h.k").alias("k")).join(F.broadcast(known), "k")
     else:
-        # the words stay behind: positions are shuffled to the seeds, and hits back to the texts
-        hits = seeds(texts, "doc_id").select("doc_id", "i", "seed").join(held, "seed").select("doc_id", "i", "hits")
-        met = hits.join(texts, "doc_id")
+        # the words stay behind: positions are shuffled to the seeds, and distinct alignments back to the texts
+        texts = texts.withColumn("row", F.xxhash64("doc_id", "w"))
+        found = seeds(texts, "row").select("row", "i", "seed").join(held, "seed").select("row", "k", (F.col("i") - F.col("q")).alias("start")).distinct()
+        aligned = found.join(known, "k").join(texts.dropDuplicates(["row"]), "row")
     n_item = F.size("item")
-    start = F.col("i") - F.col("q")
-    aligned = met.select("doc_id", "w", "i", F.explode("hits").alias("h")).select("doc_id", "w", "i", "h.item_id", "h.q", "h.item")
+    start = F.col("start")
     lead = F.greatest(-start, F.lit(0))
     took = F.least(n_item - lead, F.size("w") - F.greatest(start, F.lit(0)))
     aligned = aligned.select(
