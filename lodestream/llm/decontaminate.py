@@ -66,31 +66,31 @@ def overlaps(
     small = size[0] <= broadcast_tokens and size[1] <= broadcast_bytes
     # seeds name their item by a key; its words are held once
     known = items.dropDuplicates(["k"])
-    held = seeds(known.select("k", F.col("item").alias("w")), "k").select("seed", "k", F.col("i").alias("q"))
+    held = seeds(known.select("k", F.col("item").alias("w"), F.size("item").alias("n")), "k", "n").select("seed", "k", "n", F.col("i").alias("q"))
     texts = docs.select("doc_id", words(F.col("text")).alias("w"))
     if small:
-        lists = held.groupBy("seed").agg(F.collect_list(F.struct("k", "q")).alias("hits"))
+        lists = held.groupBy("seed").agg(F.collect_list(F.struct("k", "n", "q")).alias("hits"))
         met = seeds(texts, "doc_id").join(F.broadcast(lists), "seed").select("doc_id", "w", "i", F.explode("hits").alias("h"))
-        aligned = met.select("doc_id", "w", (F.col("i") - F.col("h.q")).alias("start"), F.col("h.k").alias("k")).join(F.broadcast(known), "k")
+        met = met.select("doc_id", "w", (F.col("i") - F.col("h.q")).alias("start"), "h.k", "h.n")
     else:
         # the words stay behind: positions are shuffled to the seeds, and distinct alignments back to the texts
         texts = texts.withColumn("row", F.xxhash64("doc_id", "w"))
-        found = seeds(texts, "row").select("row", "i", "seed").join(held, "seed").select("row", "k", (F.col("i") - F.col("q")).alias("start")).distinct()
-        aligned = found.join(known, "k").join(texts.dropDuplicates(["row"]), "row")
-    n_item = F.size("item")
-    start = F.col("start")
-    lead = F.greatest(-start, F.lit(0))
-    took = F.least(n_item - lead, F.size("w") - F.greatest(start, F.lit(0)))
-    aligned = aligned.select(
-        "doc_id",
-        "item_id",
-        n_item.alias("n_item"),
-        F.zip_with(F.slice("w", F.greatest(start, F.lit(0)) + 1, took), F.slice("item", lead + 1, took), lambda a, b: (a == b).cast("int")).alias("same"),
-    )
-    span = F.least(F.lit(window), F.col("n_item"))
-    totals = F.transform(F.sequence(F.lit(1), F.size("same") - span + 1), lambda p: F.aggregate(F.slice("same", p, span), F.lit(0), lambda a, x: a + x))
-    scored = aligned.where(F.size("same") >= span).select("doc_id", "item_id", span.alias("compared"), F.array_max(totals).alias("matched"))
-    return scored.where(F.col("matched") >= F.ceil(F.col("compared") * F.lit(similarity))).groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"), F.max("compared").alias("compared"))
+        found = seeds(texts, "row").select("row", "i", "seed").join(held, "seed").select("row", "k", "n", (F.col("i") - F.col("q")).alias("start")).distinct()
+        met = found.join(texts.dropDuplicates(["row"]), "row")
+    # the hits of one alignment are combined where they are found, and verified once
+    lead, at, span = F.greatest(-F.col("start"), F.lit(0)), F.greatest(F.col("start"), F.lit(0)), F.least(F.lit(window), F.col("n"))
+    took = F.least(F.col("n") - lead, F.size("w") - at)
+    aligned = met.where(took >= span).select("doc_id", "k", "n", lead.alias("lead"), F.slice("w", at + 1, took).alias("part")).distinct()
+    aligned = aligned.join(F.broadcast(known) if small else known, "k")
+    same = F.zip_with("part", F.slice("item", F.col("lead") + 1, F.size("part")), lambda a, b: (a == b).cast("int"))
+
+    def best(flags: Column) -> Column:
+        return F.array_max(F.transform(F.sequence(F.lit(1), F.size(flags) - span + 1), lambda p: F.aggregate(F.slice(flags, p, span), F.lit(0), lambda t, x: t + x)))
+
+    # one generator evaluates each alignment once; a filter would be pushed down and evaluate it again
+    enough = F.filter(F.transform(F.array(same), best), lambda m: m >= F.ceil(span * F.lit(similarity)))
+    scored = aligned.select("doc_id", "item_id", span.alias("compared"), F.explode(enough).alias("matched"))
+    return scored.groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"), F.max("compared").alias("compared"))
 
 
 def remove(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
