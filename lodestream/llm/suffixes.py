@@ -44,6 +44,8 @@ LENGTH = 50
 GRAM = 20
 #: Bytes hashed at a time; longer documents are cut with an overlap.
 BLOCK = 1 << 18
+#: Bytes of contexts sorted at a time; sorting takes some fifty bytes of memory for each.
+SORTED = 1 << 22
 BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -423,9 +425,38 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarra
     return np.minimum(out, most)
 
 
+def batches_of(use: np.ndarray, anchor: np.ndarray, at: np.ndarray, most: int = SORTED):
+    """Contexts ordered by anchor, in batches of whole anchors of about `most` bytes: only those of one anchor can share a window."""
+    if len(use):
+        size = np.cumsum(at[use + 1] - at[use])
+        first = np.concatenate(([0], np.flatnonzero(anchor[1:] != anchor[:-1]) + 1))
+        cut = first[np.concatenate(([True], np.diff(size[first] // most) > 0))]
+        yield from np.split(use, cut[1:])
+
+
+def sorted_out(raw: bytes, at: np.ndarray, use: np.ndarray, doc: np.ndarray, start: np.ndarray, length: int):
+    """(docs, starts, ends) of the windows of contexts `use` that also start in a smaller document's."""
+    pieces = [raw[at[i] : at[i + 1]] for i in use]
+    text = np.frombuffer(b"\0".join(pieces) + b"\0", np.uint8)
+    ends = np.cumsum([len(p) + 1 for p in pieces]) - 1
+    order = two_stage(text, ends, length)
+    piece = np.searchsorted(ends, order, side="left")
+    order_ok = ends[piece] - order >= length
+    order, piece = order[order_ok], piece[order_ok]
+    new = common_prefixes(text, order, length) < length
+    if not len(order):
+        return order, order, order
+    new[0] = True
+    owner = doc[use][piece]
+    low = np.minimum.reduceat(owner, np.flatnonzero(new))[np.cumsum(new) - 1]
+    gone = owner > low
+    place = order[gone] - np.concatenate(([0], ends[:-1] + 1))[piece[gone]] + start[use][piece[gone]]
+    return owner[gone], place, place + length
+
+
 def windows_found(table: pa.Table, n_doc_parts: int, length: int) -> pa.Table:
     """One reducer's answer: intervals to remove, per document part."""
-    cols = {c: table.column(c).to_pylist() for c in SENT_SCHEMA.names[1:]}
+    cols = {c: table.column(c).to_pylist() for c in SENT_SCHEMA.names[1:] if c != "bytes"}
     join = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in cols[c]])
     key, doc, start, count = join("keys", np.uint64), join("docs", np.int64), join("starts", np.int64), join("windows", "<u2").astype(np.int64)
     found = [[join("found_docs", np.int64)], [join("found_starts", np.int64)], [join("found_ends", np.int64)]]
@@ -435,37 +466,23 @@ def windows_found(table: pa.Table, n_doc_parts: int, length: int) -> pa.Table:
             f.append(x)
 
     if len(key):
-        raw = b"".join(cols["bytes"])
+        raw = b"".join([memoryview(x.as_buffer()) for x in table.column("bytes")])
         at = np.concatenate(([0], np.cumsum(count + length - 1)))
-        # equal contexts: all but the smallest document's are known
-        number: dict = {}
-        cls = np.array([number.setdefault((k, raw[s:e]), len(number)) for k, s, e in zip(key.tolist(), at[:-1].tolist(), at[1:].tolist())])
-        least = np.full(len(number), np.iinfo(np.int64).max)
-        np.minimum.at(least, cls, doc)
-        later = doc > least[cls]
-        known(doc[later], start[later], start[later] + count[later] + length - 1)
-        # anchors of a single context have nothing to be compared with
-        keys_of = np.array([k for k, _ in number], np.uint64)
-        _, inv, size = np.unique(keys_of, return_inverse=True, return_counts=True)
-        use = np.flatnonzero(~later & (size[inv] > 1)[cls])
-        if len(use):
-            pieces = [raw[at[i] : at[i + 1]] for i in use]
-            text = np.frombuffer(b"\0".join(pieces) + b"\0", np.uint8)
-            ends = np.cumsum([len(p) + 1 for p in pieces]) - 1
-            order = two_stage(text, ends, length)
-            piece = np.searchsorted(ends, order, side="left")
-            order_ok = ends[piece] - order >= length
-            order, piece = order[order_ok], piece[order_ok]
-            lcp = common_prefixes(text, order, length)
-            new = lcp < length
-            if len(order):
-                new[0] = True
-                begin = np.flatnonzero(new)
-                owner = doc[use][piece]
-                low = np.minimum.reduceat(owner, begin)[np.cumsum(new) - 1]
-                gone = owner > low
-                place = order[gone] - np.concatenate(([0], ends[:-1] + 1))[piece[gone]] + start[use][piece[gone]]
-                known(owner[gone], place, place + length)
+        by_key = np.argsort(key, kind="stable")
+        for some in batches_of(by_key, key[by_key], at):
+            # equal contexts: all but the smallest document's are known
+            number: dict = {}
+            cls = np.array([number.setdefault((key[i], raw[at[i] : at[i + 1]]), len(number)) for i in some])
+            least = np.full(len(number), np.iinfo(np.int64).max)
+            np.minimum.at(least, cls, doc[some])
+            later = doc[some] > least[cls]
+            gone = some[later]
+            known(doc[gone], start[gone], start[gone] + count[gone] + length - 1)
+            # anchors of a single context have nothing to be compared with
+            _, inv, size = np.unique(np.array([k for k, _ in number], np.uint64), return_inverse=True, return_counts=True)
+            use = some[~later & (size[inv] > 1)[cls]]
+            if len(use):
+                known(*sorted_out(raw, at, use, doc, start, length))
     d, a, z = merged(*(np.concatenate(f) for f in found))
     part = d % n_doc_parts
     o = np.argsort(part, kind="stable")

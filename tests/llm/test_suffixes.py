@@ -111,3 +111,26 @@ def test_rewritten_rows_keep_their_columns(spark):
     assert out.columns == df.columns
     got = {r.doc_id: (r.text, r.n_chars, r.part) for r in out.collect()}
     assert got == {1: (t, len(t), "p"), 2: ("Début  fin", 10, "p"), 3: (None, None, None)}
+
+
+def test_batches_of_whole_anchors_change_nothing():
+    import numpy as np
+
+    from lodestream.llm import suffixes as sx
+
+    rng = np.random.default_rng(3)
+    pieces, anchor = [], []
+    for k in range(12):
+        shared = rng.bytes(70)
+        for _ in range(rng.integers(2, 6)):
+            pieces.append(rng.bytes(int(rng.integers(0, 20))) + shared + rng.bytes(int(rng.integers(0, 20))))
+            anchor.append(k)
+    raw, at = b"".join(pieces), np.concatenate(([0], np.cumsum([len(p) for p in pieces])))
+    use, anchor, doc = np.arange(len(pieces)), np.array(anchor), rng.permutation(len(pieces))
+    start = np.arange(len(pieces)) * 10
+    batches = list(sx.batches_of(use, anchor, at, most=150))
+    assert len(batches) > 3 and np.concatenate(batches).tolist() == use.tolist()
+    assert all(not set(anchor[a]) & set(anchor[b]) for a, b in zip(batches, batches[1:]))
+    whole = sorted(zip(*(x.tolist() for x in sx.sorted_out(raw, at, use, doc, start, 50))))
+    cut = sorted(t for b in batches for t in zip(*(x.tolist() for x in sx.sorted_out(raw, at, b, doc, start, 50))))
+    assert whole and whole == cut
