@@ -122,6 +122,16 @@ def cells_of(s, d):
     return p.select("p_partkey", (10.0 + F.col("p_size")).alias("a"), F.lit(12.0).alias("b"), F.lit(15.0).alias("c"), (80.0 + F.col("p_size") % 10).alias("alpha"), F.lit(85.0).alias("beta"), (75.0 + F.col("p_size") % 7).alias("gamma"))
 
 
+def all_lags(df: DataFrame, fraction: float = 0.5) -> int:
+    """The largest lag of the whole job, from the number of frames."""
+    return max(1, int(df.select("frame").distinct().count() * fraction))
+
+
+def whole_displacement(df: DataFrame, by_molecule: bool = False) -> DataFrame:
+    return displacement(df, all_lags(df), by_molecule).select("lag", F.round("msd", 9).alias("msd"), "n")
+
+
+#: The lags that the SQL of msd and msd_by_molecule has; msd_all_lags and msd_all_lags_by_molecule have them all.
 LAGS = 20
 QUERIES = {
     "traj_scan": lambda s, d: src.trajectory(s, d).groupBy("mol", "type").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("x")).alias("sx"), r6(F.sum("z")).alias("sz")),
@@ -130,6 +140,8 @@ QUERIES = {
     "compute_ree": lambda s, d: end_to_end_distance(src.trajectory(s, d), src.BOX).select(F.round("value", 9).alias("value"), F.round("std", 9).alias("std"), "n_samples", "n_chains"),
     "msd": lambda s, d: displacement(src.trajectory(s, d), LAGS).select("lag", F.round("msd", 9).alias("msd"), "n"),
     "msd_by_molecule": lambda s, d: displacement(src.trajectory(s, d), LAGS, by_molecule=True).select("lag", F.round("msd", 9).alias("msd"), "n"),
+    "msd_all_lags": lambda s, d: whole_displacement(src.trajectory(s, d)),
+    "msd_all_lags_by_molecule": lambda s, d: whole_displacement(src.trajectory(s, d), by_molecule=True),
     "rdf_hist": lambda s, d: radial_distribution(src.trajectory(s, d), src.BOX, 0.45, 9).select("bin", F.round("r", 6).alias("r"), "pairs", r6("g_r").alias("g_r")),
     "rdf_partial": lambda s, d: radial_distribution(src.trajectory(s, d), src.BOX, 0.3, 6, [1], [2]).select("bin", F.round("r", 6).alias("r"), "pairs", r6("g_r").alias("g_r")),
     "box_tilt": lambda s, d: box_tilt(cells_of(s, d)).select("p_partkey", *[r6(c).alias(c) for c in ("lx", "ly", "lz", "xy", "xz", "yz")]),
