@@ -156,16 +156,16 @@ def payload(block: bytes) -> bytes:
 RECORD = "kind string, page_id long, refers_to long, digest string, origin string, segment int, total long, block binary"
 
 
-def records(spark: SparkSession, path: str) -> DataFrame:
-    """Every record of the archives under path; block is null for revisits."""
+def records(spark: SparkSession, path: str, pattern: str = "part-*") -> DataFrame:
+    """Every record of the archives under path whose names match; block is null for revisits. Gzip files may have many members."""
 
     def run(batches):
-        import zlib
+        import gzip
 
         for b in batches:
             for raw in b.column("content").to_pylist():
                 if raw[:2] == b"\x1f\x8b":
-                    raw = zlib.decompress(raw, 31)
+                    raw = gzip.decompress(raw)
                 rows, held = [], 0
                 for head, block in parse(raw):
                     kind = head[b"WARC-Type"].decode()
@@ -179,7 +179,7 @@ def records(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield batch_of(rows)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("content")
     return files.mapInArrow(run, RECORD)
 
 
@@ -190,9 +190,9 @@ def batch_of(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), KINDS)], [f.split()[0] for f in RECORD.split(", ")])
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
+def read(spark: SparkSession, path: str, pattern: str = "part-*") -> DataFrame:
     """(page_id, payload, digest, refers_to): responses with payloads, reassembled and decoded; revisits without."""
-    all_records = records(spark, path)
+    all_records = records(spark, path, pattern)
 
     def whole(batches):
         for b in batches:
