@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import gc
+import re
 import sys
 import tempfile
-import time
 import types
 import uuid
 
@@ -23,33 +22,51 @@ def partitions(spark: SparkSession) -> int:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path in the folder all executors share (spark.checkpoint.dir)."""
+    """A new path in the folder all executors share (spark.checkpoint.dir), deleted with the session at the latest."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             base = held.get()
-        else:
+        elif re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             base = tempfile.mkdtemp(prefix="lodestream-")
             spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/lodestream-{uuid.uuid4().hex}"
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    path = f"{base.rstrip('/')}/lodestream-{uuid.uuid4().hex}"
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path
+
+
+#: Spark then deletes an execution's shuffle files when it ends, not when the driver's garbage is collected.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
+def materialize(df: DataFrame, *by: str) -> DataFrame:
+    """Write once to shared storage (partitioned by `by`) and read back: cuts the lineage, survives lost executors.
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write once to shared storage and read back: cuts the lineage, survives lost executors."""
+    What is written lies there until drop() or the end of the session.
+    """
     spark = df.sparkSession
     path = scratch(spark)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.partitionBy(*by).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
     out = spark.read.schema(df.schema).parquet(path)
     out._lodestream_path = path
     return out
 
 
-def drop(df: DataFrame) -> None:
+def drop(*frames: DataFrame) -> None:
     """Delete what materialize() wrote, once nothing lazy reads it any more."""
-    path = getattr(df, "_lodestream_path", None)
-    if path:
-        delete(df.sparkSession, path)
+    for df in frames:
+        path = getattr(df, "_lodestream_path", None)
+        if path:
+            delete(df.sparkSession, path)
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -58,18 +75,6 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove the shuffle files of finished phases before the next one writes its own.
-
-    The cleaner works in the background on what garbage collection reports, in
-    Python first and then in the JVM.
-    """
-    for _ in range(3):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
-
 def worker_cache() -> dict:
     """A dict that lives as long as the Python worker, across tasks."""
     m = sys.modules.setdefault("_lodestream_worker", types.ModuleType("_lodestream_worker"))

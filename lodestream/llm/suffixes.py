@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, materialize, partitions, release, worker_cache
+from .common import drop, materialize, partitions, worker_cache
 
 LENGTH = 50
 GRAM = 20
@@ -544,11 +544,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, rewr
     placed = base.withColumn("part", F.coalesce(F.pmod("doc_id", F.lit(n_doc_parts)), F.lit(0)).cast("int"))
     rows = anchor_rows(base, parts, n_doc_parts, length, gram)
     shared = materialize(rows.groupBy("p").applyInArrow(lambda t: shared_anchors(t), "part int, keys binary"))
-    release(spark)
     sent = placed.where(F.octet_length("text") >= length).groupBy("part").cogroup(shared.groupBy("part")).applyInArrow(lambda l, r: contexts(l, r, parts, length, gram), SENT)
     found = materialize(sent.groupBy("q").applyInArrow(lambda t: windows_found(t, n_doc_parts, length), "part int, docs binary, starts binary, ends binary"))
     drop(shared)
-    release(spark)
     own = (docs if rewrite else base).withColumn(ID, F.col("doc_id").cast("long"))
     own = own.withColumn(PART, F.coalesce(F.pmod(ID, F.lit(n_doc_parts)), F.lit(0)).cast("int"))
     schema = docs.schema if rewrite else RESULT
