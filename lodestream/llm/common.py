@@ -43,7 +43,7 @@ def scratch(spark: SparkSession) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def materialize(df: DataFrame, *by: str) -> DataFrame:
+def materialize(df: DataFrame, *by: str, **options: str) -> DataFrame:
     """Write once to shared storage (partitioned by `by`) and read back: cuts the lineage, survives lost executors.
 
     What is written lies there until drop() or the end of the session.
@@ -53,7 +53,7 @@ def materialize(df: DataFrame, *by: str) -> DataFrame:
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.partitionBy(*by).parquet(path)
+        df.write.options(**options).partitionBy(*by).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
     out = spark.read.schema(df.schema).parquet(path)

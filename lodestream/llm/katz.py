@@ -47,9 +47,9 @@ from .common import crc_class, drop, materialize, partitions
 
 BEGIN, FINISH = 1, 2
 DISCOUNTED = 5
-ORDER = 3
+ORDER = 2
 #: Bytes of text in a part, about; a longer document is a part of its own.
-PART = 4 << 20
+PART = 8 << 20
 #: Distinct k-grams that a reducer is asked for, about.
 SHARE = 1_000_000
 
@@ -67,6 +67,29 @@ def table_of(rows: list[dict], schema: str) -> pa.Table:
     return pa.table([pa.array([r.get(n) for r in rows], kind) for n, kind in columns_of(schema)], names=[n for n, _ in columns_of(schema)])
 
 
+def packed(x: np.ndarray) -> bytes:
+    """Numbers by byte planes, compressed."""
+    import zstandard
+
+    return zstandard.compress(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.dtype.itemsize).T.tobytes(), 1)
+
+
+def unpacked(raw: bytes, kind) -> np.ndarray:
+    import zstandard
+
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(width, -1).T).view(kind).ravel()
+
+
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as byte planes of their differences: Spark compresses the empty planes."""
+    return np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpacked_keys(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
 def mixed(a, b):
     """64-bit hashes of pairs of hashes."""
     x = (a * np.uint64(0x9E3779B97F4A7C15)) ^ (a >> np.uint64(29))
@@ -102,7 +125,7 @@ def encoded(docs: DataFrame, order: int, size: int) -> DataFrame:
             sizes.append(len(own) + 1)
         all_tokens = np.concatenate(tokens)
         out = {"part": task << 32 | number, "ids": held[0], "train": np.array(held[2], np.uint8).tobytes(), "sizes": np.array(sizes, np.int64).tobytes()}
-        return table_of([out | {"words": np.array(words, np.uint64).tobytes(), "tokens": all_tokens.tobytes(), "grams": len(all_tokens) * (order - 1) + len(words)}], PARTS).to_batches()[0]
+        return table_of([out | {"words": np.array(words, np.uint64).tobytes(), "tokens": packed(all_tokens), "grams": len(all_tokens) * (order - 1) + len(words)}], PARTS).to_batches()[0]
 
     def run(batches):
         from pyspark import TaskContext
@@ -132,7 +155,7 @@ class Part:
         self.sizes = get("sizes", np.int64)
         self.first = np.concatenate(([0], np.cumsum(self.sizes)[:-1]))
         self.learned = np.repeat(get("train", np.uint8).astype(bool), self.sizes)
-        word = get("words", np.uint64)[get("tokens", np.uint32)]
+        word = get("words", np.uint64)[unpacked(t.column("tokens")[0].as_py(), np.uint32)]
         # keys[k], at[k]: a token's place among them, lead[k]: a token each ends at, before[k]: place of a token's history among keys[k - 1] (-1: only begin tokens)
         self.keys, self.at, self.lead, self.before = {}, {}, {}, {}
         gram = word
@@ -159,7 +182,7 @@ def asked(keys: np.ndarray, part: int, k: int, parts: int, x: np.ndarray, y: np.
     rows = []
     for q in np.flatnonzero(np.diff(cut)).tolist():
         s = slice(cut[q], cut[q + 1])
-        rows.append({"q": q, "part": part, "k": k, "n": int(cut[q + 1] - cut[q]), "keys": keys[s].tobytes(), "x": x[s].tobytes(), "y": None if y is None else y[s].tobytes()})
+        rows.append({"q": q, "part": part, "k": k, "n": int(cut[q + 1] - cut[q]), "keys": packed_keys(keys[s]), "x": packed(x[s]), "y": None if y is None else packed(y[s])})
     return rows
 
 
@@ -171,16 +194,11 @@ def ask_counts(docs: pa.Table, parts: int, order: int) -> pa.Table:
 
 
 def joined(column: list, kind) -> np.ndarray:
-    return np.concatenate([np.frombuffer(x, kind) for x in column]) if column else np.zeros(0, kind)
-
-
-def narrow(x: np.ndarray) -> bytes:
-    """Whole numbers in four bytes each if they fit, else in eight."""
-    return x.astype(np.uint32 if not len(x) or x.max() < 1 << 32 else np.uint64).tobytes()
+    return np.concatenate([unpacked(x, kind) for x in column]) if column else np.zeros(0, kind)
 
 
-def wide(raw: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(raw, np.uint32 if len(raw) == 4 * n else np.uint64).astype(np.int64)
+def joined_keys(column: list) -> np.ndarray:
+    return np.concatenate([unpacked_keys(x) for x in column])
 
 
 def tell_counts(asks: pa.Table, order: int) -> pa.Table:
@@ -193,7 +211,7 @@ def tell_counts(asks: pa.Table, order: int) -> pa.Table:
         mine = [r for r in rows if r["k"] == k]
         if not mine:
             continue
-        key, x = joined([r["keys"] for r in mine], np.uint64), joined([r["x"] for r in mine], np.uint32)
+        key, x = joined_keys([r["keys"] for r in mine]), joined([r["x"] for r in mine], np.uint32)
         distinct, at = np.unique(key, return_inverse=True)
         total = np.bincount(at, x, len(distinct)).astype(np.int64)
         holds = np.flatnonzero(x)
@@ -207,8 +225,8 @@ def tell_counts(asks: pa.Table, order: int) -> pa.Table:
         seen = total > 0
         tables.append(learned_rows("grams", k, key=distinct[seen], count=total[seen]))
         end = np.cumsum([r["n"] for r in mine])
-        out += [{"what": "counts", "part": r["part"], "q": q, "k": k, "n": r["n"], "x": narrow(a)} for r, a in zip(mine, np.split(answer, end[:-1]))]
-    out.append({"what": "sums", "q": q, "x": sums.tobytes()})
+        out += [{"what": "counts", "part": r["part"], "q": q, "k": k, "n": r["n"], "x": packed(a)} for r, a in zip(mine, np.split(answer, end[:-1]))]
+    out.append({"what": "sums", "q": q, "x": packed(sums.ravel())})
     return pa.concat_tables([table_of(out, TOLD), *tables])
 
 
@@ -252,8 +270,7 @@ class Known:
         rows = sorted(told.select(["what", "q", "k", "n", "x"]).to_pylist(), key=lambda r: (r["k"], r["q"]))
         self.count, self.owned, self.weight, self.plus = {}, {}, {}, {}
         for k in range(1, order + 1):
-            got = [wide(r["x"], r["n"]) for r in rows if r["what"] == "counts" and r["k"] == k]
-            answer = np.concatenate(got) if got else np.zeros(0, np.int64)
+            answer = joined([r["x"] for r in rows if r["what"] == "counts" and r["k"] == k], np.int64)
             self.count[k], self.owned[k] = answer >> 1, (answer & 1).astype(bool)
             raw = joined([r["x"] for r in rows if r["what"] == "weights" and r["k"] == k], np.float64)
             # the last entry is the history of begin tokens
@@ -294,20 +311,21 @@ def ask_weights(docs: pa.Table, told: pa.Table, parts: int, order: int, k: int,
 
 def weight_rows(keys, part, k, parts, freed, mass, total) -> list[dict]:
     """The last key, of begin tokens, is asked for apart, so that the others stay sorted."""
-    both = np.stack([freed, mass], axis=1)
-    rows = asked(keys[:-1], part, k, parts, both[:-1], total[:-1].astype(np.int64))
-    q = int(reducer(keys[-1:], parts)[0])
-    return rows + [{"q": q, "part": part, "k": -k, "n": 1, "keys": keys[-1:].tobytes(), "x": both[-1:].tobytes(), "y": total[-1:].astype(np.int64).tobytes()}]
+    both = np.zeros(len(keys), [("freed", np.float64), ("mass", np.float64)])
+    both["freed"], both["mass"] = freed, mass
+    total = total.astype(np.int64)
+    last = asked(keys[-1:], part, -k, parts, both[-1:], total[-1:])
+    return asked(keys[:-1], part, k, parts, both[:-1], total[:-1]) + last
 
 
 def tell_weights(asks: pa.Table, k: int) -> pa.Table:
     """Per history: log10 of the backoff weight (1000 more where one part in c + 1 is given up), to who asked and as a table."""
     q = asks.column("q")[0].as_py()
     rows = sorted(asks.select(["part", "k", "n", "keys", "x", "y"]).to_pylist(), key=lambda r: (r["part"], -r["k"]))
-    key = joined([r["keys"] for r in rows], np.uint64)
-    both = joined([r["x"] for r in rows], np.float64).reshape(-1, 2)
+    key = joined_keys([r["keys"] for r in rows])
+    both = joined([r["x"] for r in rows], [("freed", np.float64), ("mass", np.float64)])
     distinct, lead, at = np.unique(key, return_index=True, return_inverse=True)
-    freed, mass = np.bincount(at, both[:, 0], len(distinct)), np.bincount(at, both[:, 1], len(distinct))
+    freed, mass = np.bincount(at, both["freed"], len(distinct)), np.bincount(at, both["mass"], len(distinct))
     c = joined([r["y"] for r in rows], np.int64)[lead].astype(float)
     plus = (freed <= 0) & (c > 0)
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -317,10 +335,12 @@ def tell_weights(asks: pa.Table, k: int) -> pa.Table:
     table = learned_rows("backoff", k, history=distinct[seen], weight=weight[seen], plus_one=plus[seen])
     end = np.cumsum([r["n"] for r in rows])
     # begin tokens come last of a part's answers
-    out = [{"what": "weights", "part": r["part"], "q": q if r["k"] > 0 else 1 << 30, "k": k, "n": r["n"], "x": a.tobytes()} for r, a in zip(rows, np.split((weight + 1000 * plus)[at], end[:-1]))]
+    out = [{"what": "weights", "part": r["part"], "q": q if r["k"] > 0 else 1 << 30, "k": k, "n": r["n"], "x": packed(a)} for r, a in zip(rows, np.split((weight + 1000 * plus)[at], end[:-1]))]
     return pa.concat_tables([table_of(out, TOLD), table])
 
 
+#: Sorted keys take five bytes instead of eight.
+DELTA = {"parquet.writer.version": "v2"}
 SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
 
@@ -376,8 +396,14 @@ def learn(docs: DataFrame, train, order: int = ORDER, part: int = PART, share: i
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     parts = materialize(encoded(chosen, order, part))
     n = max(partitions(docs.sparkSession), -(-int(parts.agg(F.coalesce(F.sum("grams"), F.lit(0))).first()[0]) // share))
-    told = [materialize(parts.groupBy("part").applyInArrow(lambda t: ask_counts(t, n, order), ASK).groupBy("q").applyInArrow(lambda t: tell_counts(t, order), TOLD), "what", "k")]
-    held = sum((np.frombuffer(r.x, np.int64) for r in told[0].where("what = 'sums'").select("x").collect()), np.zeros((order + 1) * (DISCOUNTED + 1), np.int64)).reshape(order + 1, -1)
+
+    def each_part(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                yield from ask_counts(pa.Table.from_batches([b.slice(i, 1)]), n, order).to_batches()
+
+    told = [materialize(parts.mapInArrow(each_part, ASK).groupBy("q").applyInArrow(lambda t: tell_counts(t, order), TOLD), "what", "k", **DELTA)]
+    held = sum((unpacked(r.x, np.int64) for r in told[0].where("what = 'sums'").select("x").collect()), np.zeros((order + 1) * (DISCOUNTED + 1), np.int64)).reshape(order + 1, -1)
     # every training document ends once: the end token's count is their number
     sums = Sums(*map(int, held[0, :3]), {k: discounts(held[k].tolist()) for k in range(2, order + 1)})
     model = Model(parts, told, order, sums)
