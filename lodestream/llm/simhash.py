@@ -68,47 +68,41 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def fingerprint_batch(texts: list, shingle: int = 4) -> np.ndarray:
-    """uint64 fingerprints of a list of texts (None counts as empty)."""
+def hashes(text: str | None, shingle: int) -> np.ndarray:
+    """The uint64 hashes of a text's word shingles in their order, repeats included (none: empty)."""
     import xxhash
 
     digest = xxhash.xxh64_intdigest
-    out = np.zeros(len(texts), np.uint64)
-    held, where, sizes, total = [], [], [], 0
-
-    def flush():
-        nonlocal held, where, sizes, total
-        if held:
-            h = np.concatenate(held)
-            bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-            count = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
-            major = (2 * count > np.array(sizes)[:, None]).astype(np.uint8)
-            out[where] = np.packbits(major, axis=1, bitorder="little").view(np.uint64).ravel()
-        held, where, sizes, total = [], [], [], 0
-
-    for k, text in enumerate(texts):
-        words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-        if not words:
-            continue
-        line = b" ".join(words)
-        if len(words) <= shingle:
-            h = np.array([digest(line, 42)], np.uint64)
-        else:
-            size = np.fromiter(map(len, words), np.int64, len(words))
-            end = np.cumsum(size + 1) - 1
-            start = end - size
-            h = np.fromiter((digest(line[s:e], 42) for s, e in zip(start[: 1 - shingle].tolist(), end[shingle - 1 :].tolist())), np.uint64, len(words) - shingle + 1)
-        held.append(h)
-        where.append(k)
-        sizes.append(len(h))
-        total += len(h)
-        if total > 200_000:
-            flush()
-    flush()
+    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+    if not words:
+        return np.zeros(0, np.uint64)
+    line = b" ".join(words)
+    if len(words) <= shingle:
+        return np.array([digest(line, 42)], np.uint64)
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    end = np.cumsum(size + 1) - 1
+    start = end - size
+    return np.fromiter((digest(line[s:e], 42) for s, e in zip(start[: 1 - shingle].tolist(), end[shingle - 1 :].tolist())), np.uint64, len(words) - shingle + 1)
+
+
+def majority(held: list[np.ndarray]) -> np.ndarray:
+    """uint64 fingerprints: the bits set in over half the hashes of each array (empty: zero)."""
+    out = np.zeros(len(held), np.uint64)
+    where = [k for k, h in enumerate(held) if len(h)]
+    for s in range(0, len(where), 256):
+        some = where[s : s + 256]
+        sizes = np.array([len(held[k]) for k in some])
+        bits = np.unpackbits(np.concatenate([held[k] for k in some]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        count = np.add.reduceat(bits, np.concatenate(([0], np.cumsum(sizes)[:-1])), axis=0, dtype=np.int32)
+        out[some] = np.packbits((2 * count > sizes[:, None]).astype(np.uint8), axis=1, bitorder="little").view(np.uint64).ravel()
     return out
 
 
+def fingerprint_batch(texts: list, shingle: int = 4) -> np.ndarray:
+    """uint64 fingerprints of a list of texts (None counts as empty)."""
+    return np.concatenate([np.zeros(0, np.uint64), *(majority([hashes(t, shingle) for t in texts[s : s + 256]]) for s in range(0, len(texts), 256))])
+
+
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """(doc_id, fp): fp the fingerprint as a signed long."""
 

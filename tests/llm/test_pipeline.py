@@ -7,7 +7,7 @@ import corpus_pipeline as pipeline
 from lodestream.llm import packing, quality, tokens
 from tests.llm.test_decontaminate import slow as slow_overlaps
 from tests.llm.test_decontaminate import words
-from tests.llm.test_simhash import slow_components, slow_fingerprint
+from tests.llm.test_jaccard import slow_groups
 from tests.llm.test_suffixes import slow as slow_repeats
 
 SF = "/root/testdata/sf0.001"
@@ -31,9 +31,8 @@ def test_stages_against_brute_force(spark, tmp_path):
     marked = {r.doc_id: r.quality for r in labels.collect() if r.doc_id in tables["input"]}
     right = [(i in tables["quality"]) == (q == 1) for i, q in marked.items()]
     assert sum(right) / len(right) > 0.9
-    # 2: one of each group
-    fp = {i: slow_fingerprint(r.text, 5) for i, r in tables["quality"].items()}
-    comp = slow_components(fp)
+    # 2: one of each group of texts with a similarity of 0.8 or more
+    comp = slow_groups([(i, r.text) for i, r in tables["quality"].items()])
     assert set(tables["near_duplicates"]) == {i for i in comp if comp[i] == i}
     # 3: repeats are gone
     before = [(i, (r.text or "").encode()) for i, r in tables["near_duplicates"].items()]
