@@ -10,23 +10,27 @@ document with a smaller doc_id. Strings are judged on the input.
    dealt out by hash, packed, with the document part they came from; the
    reducers answer each part with the anchors that occur elsewhere too.
 2. contexts: parts look up their runs and send the bytes they span to the
-   anchor's task. Of equal contexts only the smallest doc_id's is sent; for the
-   others the answer is known.
-3. suffix sorting: each task concatenates its distinct contexts and sorts their
-   suffixes in two stages: those smaller than their successor are sorted
-   directly, the rest are induced by scanning the buckets of first bytes in
-   order. Neighbours whose common prefix is LENGTH or more form groups; a
-   group's windows are removed but for its smallest document.
+   anchor's task, those of equal contexts of the part once, for the smallest
+   doc_id (combined before the shuffle).
+3. suffix sorting: each task concatenates its contexts, equal ones once with all
+   their owners, and sorts their suffixes in two stages: those smaller than
+   their successor are sorted directly, the rest are induced by scanning the
+   buckets of first bytes in order. Neighbours whose common prefix is LENGTH or
+   more form groups; a group's windows are removed from every owner with a
+   larger doc_id than its smallest.
 4. windows found are merged to spans, document part by document part.
 
-All sizes per task follow the number of partitions, not a key's frequency: an
-anchor counts once per batch and part, a context once per part.
+Documents are dealt into parts of about DOC_PART bytes and anchors to reducers
+for about ASK_PART bytes of text each, by hash, so a task's memory follows
+neither the input nor a key's frequency: an anchor counts once per batch and
+part, a context once per part.
 
 Defined results: a null text is empty; texts under LENGTH bytes are kept whole;
 rows with a null doc_id are kept whole and remove nothing; rows that repeat a
-doc_id with the same text get the same result, and of different texts under one
-doc_id the smallest takes part and the others are kept whole; repeats within a
-document stay; an empty table gives no rows; extra columns are ignored.
+doc_id get the same result if they have the same text; different texts under one
+doc_id all take part, and none removes from another; repeats within a document
+stay; equal strings are ordered by doc_id alone, so ties change nothing; an
+empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -46,6 +50,8 @@ GRAM = 20
 BLOCK = 1 << 18
 #: Bytes of contexts sorted at a time; sorting takes some fifty bytes of memory for each.
 SORTED = 1 << 22
+#: Bytes of text in a document part, and for each reducer, about.
+DOC_PART, ASK_PART = 8 << 20, 6 << 20
 BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -156,7 +162,7 @@ def short(key: np.ndarray) -> np.ndarray:
     return key >> np.uint64(17)
 
 
-def anchor_rows(docs: DataFrame, parts: int, n_doc_parts: int, length: int, gram: int) -> DataFrame:
+def anchor_rows(docs: DataFrame, parts: int, length: int, gram: int) -> DataFrame:
     """(p, doc_parts, sizes, keys): the anchors of a batch for reducer p, sorted by document part."""
 
     def emit(acc):
@@ -191,7 +197,7 @@ def anchor_rows(docs: DataFrame, parts: int, n_doc_parts: int, length: int, gram
                 ids, texts = part.column("doc_id").to_pylist(), utf8(part.column("text"))
                 row, _, _, key = runs_of(ids, texts, length, gram)
                 if len(row):
-                    place = np.array([-1 if i is None else i % n_doc_parts for i in ids], np.int64)
+                    place = part.column("part").to_numpy().astype(np.int64)
                     acc.append((short(key), place[row], row + row0))
                     held += len(row)
                 row0 += part.num_rows
@@ -230,33 +236,43 @@ def shared_anchors(table: pa.Table) -> pa.Table:
     return pa.table({"part": pa.array([r[0] for r in rows], pa.int32()), "keys": pa.array([r[1] for r in rows], pa.binary())})
 
 
-def taking_part(ids: list, texts: list) -> list:
-    """texts, None for those that share a doc_id with a smaller other text."""
-    best: dict = {}
+def variants(ids: list, texts: list, length: int) -> list[int]:
+    """The place of each text of at least `length` bytes among the different ones of its doc_id, in their order (-1: shorter)."""
+    of: dict = {}
     for i, t in zip(ids, texts):
-        if i is not None and (i not in best or t < best[i]):
-            best[i] = t
-    return [t if i is not None and best[i] == t else None for i, t in zip(ids, texts)]
+        if len(t) >= length:
+            of.setdefault(i, set()).add(t)
+    order = {i: {t: n for n, t in enumerate(sorted(ts))} for i, ts in of.items() if len(ts) > 1}
+    return [-1 if len(t) < length else order[i][t] if i in order else 0 for i, t in zip(ids, texts)]
 
 
-SENT = "q int, keys binary, docs binary, starts binary, windows binary, bytes binary, found_docs binary, found_starts binary, found_ends binary"
+SENT = "q int, keys binary, docs binary, variants binary, starts binary, windows binary, bytes binary, parts binary, found binary"
+#: A removed interval; part: of its document.
+SPAN = [("part", np.int32), ("doc", np.int64), ("variant", np.int32), ("start", np.int64), ("end", np.int64)]
 SENT_SCHEMA = pa.schema([("q", pa.int32())] + [(f.split()[0], pa.binary()) for f in SENT.split(", ")[1:]])
 
 
-def merged(docs: np.ndarray, starts: np.ndarray, ends: np.ndarray):
-    """Disjoint, non-touching intervals per document."""
-    if not len(docs):
-        return docs, starts, ends
-    order = np.lexsort((starts, docs))
-    docs, starts, ends = docs[order], starts[order], ends[order]
+def spans(part, doc, variant, start, end) -> np.ndarray:
+    out = np.zeros(len(doc), SPAN)
+    for name, x in zip(out.dtype.names, (part, doc, variant, start, end)):
+        out[name] = x
+    return out
+
+
+def merged(x: np.ndarray) -> np.ndarray:
+    """Disjoint, non-touching intervals per document and variant, by part."""
+    if not len(x):
+        return x
+    x = x[np.lexsort((x["start"], x["variant"], x["doc"], x["part"]))]
     # running maximum of ends within a document: shift documents apart
-    rank = np.concatenate(([0], np.cumsum(docs[1:] != docs[:-1])))
-    wide = int(ends.max()) + 1
-    reach = np.maximum.accumulate(ends + rank * wide)
-    new = np.concatenate(([True], starts[1:] + rank[1:] * wide > reach[:-1]))
+    rank = np.concatenate(([0], np.cumsum((x["doc"][1:] != x["doc"][:-1]) | (x["variant"][1:] != x["variant"][:-1]) | (x["part"][1:] != x["part"][:-1]))))
+    wide = int(x["end"].max()) + 1
+    reach = np.maximum.accumulate(x["end"] + rank * wide)
+    new = np.concatenate(([True], x["start"][1:] + rank[1:] * wide > reach[:-1]))
     begin = np.flatnonzero(new)
-    last = np.append(begin[1:], len(docs)) - 1
-    return docs[begin], starts[begin], reach[last] - rank[begin] * wide
+    out = x[begin]
+    out["end"] = reach[np.append(begin[1:], len(x)) - 1] - rank[begin] * wide
+    return out
 
 
 def contexts(left: pa.Table, right: pa.Table, parts: int, length: int, gram: int) -> pa.Table:
@@ -265,25 +281,19 @@ def contexts(left: pa.Table, right: pa.Table, parts: int, length: int, gram: int
     if not blobs or not left.num_rows:
         return SENT_SCHEMA.empty_table()
     wanted = np.sort(np.concatenate([unpack48(b) for b in blobs]))
+    own = left.column("part")[0].as_py()
     ids, texts = left.column("doc_id").to_pylist(), utf8(left.column("text"))
-    texts = taking_part(ids, texts)
+    of = variants(ids, texts, length)
     first: dict = {}
-    found = [[], [], []]
-    kept = [[], [], [], [], []]
-
-    def known(doc, start, n):
-        found[0].append(doc)
-        found[1].append(start)
-        found[2].append(start + n + length - 1)
-
+    found, kept = [], []
     seen = set()
     for s in range(0, len(ids), 256):
-        sub_ids = [None if i in seen else i for i in ids[s : s + 256]]
+        sub_ids = ids[s : s + 256]
         for k, i in enumerate(sub_ids):  # rows that repeat a document count once
-            if i is not None and texts[s + k] is not None:
-                if i in seen:
+            if i is not None:
+                if (i, of[s + k]) in seen:
                     sub_ids[k] = None
-                seen.add(i)
+                seen.add((i, of[s + k]))
         row, start, count, key = runs_of(sub_ids, texts[s : s + 256], length, gram)
         brief = short(key)
         at = np.searchsorted(wanted, brief)
@@ -291,24 +301,20 @@ def contexts(left: pa.Table, right: pa.Table, parts: int, length: int, gram: int
         hit = np.flatnonzero(wanted[at] == brief)
         for r, a, n, k in zip((row[hit] + s).tolist(), start[hit].tolist(), count[hit].tolist(), key[hit].tolist()):
             c = texts[r][a : a + n + length - 1]
-            doc = ids[r]
+            doc, place = ids[r], (of[r], a)
             e = first.get((k, c))
-            if e is None:
-                first[k, c] = [doc, a]
+            if e is None or doc < e[0]:
+                if e is not None:
+                    found += [(own, e[0], v, x, x + len(c)) for v, x in e[1:]]
+                first[k, c] = [doc, place]
             elif doc > e[0]:
-                known(doc, a, n)
+                found.append((own, doc, *place, a + len(c)))
             else:
-                if doc < e[0]:
-                    for x in e[1:]:
-                        known(e[0], x, n)
-                    first[k, c] = [doc, a]
-                else:
-                    e.append(a)
+                e.append(place)
     for (k, c), e in first.items():
-        for a in e[1:]:
-            for col, v in zip(kept, (k, e[0], a, len(c) - length + 1, c)):
-                col.append(v)
-    key, doc, start, count = (np.array(x, t) for x, t in zip(kept, (np.uint64, np.int64, np.int64, np.int64)))
+        kept += [(k, e[0], v, a, len(c) - length + 1, c) for v, a in e[1:]]
+    columns = list(zip(*kept)) if kept else [()] * 6
+    key, doc, variant, start, count = (np.array(x, t) for x, t in zip(columns, (np.uint64, np.int64, np.int32, np.int64, "<u2")))
     q = ((key >> np.uint64(17)) % np.uint64(parts)).astype(np.int64)
     order = np.argsort(q, kind="stable")
     q_sorted = q[order]
@@ -316,10 +322,10 @@ def contexts(left: pa.Table, right: pa.Table, parts: int, length: int, gram: int
     rows = []
     for s, e in zip(cut, np.append(cut[1:], len(q))):
         o = order[s:e]
-        rows.append((int(q_sorted[s]), key[o].tobytes(), doc[o].tobytes(), start[o].tobytes(), count[o].astype("<u2").tobytes(), b"".join([kept[4][i] for i in o]), b"", b"", b""))
-    d, a, z = merged(*(np.array(x, np.int64) for x in found))
-    if len(d):
-        rows.append((int(ids[0] or 0) % parts, b"", b"", b"", b"", b"", d.tobytes(), a.tobytes(), z.tobytes()))
+        rows.append((int(q_sorted[s]), *(x[o].tobytes() for x in (key, doc, variant, start, count)), b"".join([columns[5][i] for i in o]), np.full(len(o), own, np.int32).tobytes(), b""))
+    known = merged(np.array(found, SPAN))
+    if len(known):
+        rows.append((own % parts, *[b""] * 7, known.tobytes()))
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), SENT_SCHEMA)], schema=SENT_SCHEMA) if rows else SENT_SCHEMA.empty_table()
 
 
@@ -434,62 +440,67 @@ def batches_of(use: np.ndarray, anchor: np.ndarray, at: np.ndarray, most: int =
         yield from np.split(use, cut[1:])
 
 
-def sorted_out(raw: bytes, at: np.ndarray, use: np.ndarray, doc: np.ndarray, start: np.ndarray, length: int):
-    """(docs, starts, ends) of the windows of contexts `use` that also start in a smaller document's."""
-    pieces = [raw[at[i] : at[i + 1]] for i in use]
+def sorted_out(pieces: list[bytes], least: np.ndarray, length: int):
+    """(piece, place, low) of every window of distinct contexts: low the smallest of `least` among the contexts that hold it."""
     text = np.frombuffer(b"\0".join(pieces) + b"\0", np.uint8)
     ends = np.cumsum([len(p) + 1 for p in pieces]) - 1
     order = two_stage(text, ends, length)
     piece = np.searchsorted(ends, order, side="left")
-    order_ok = ends[piece] - order >= length
-    order, piece = order[order_ok], piece[order_ok]
+    whole = ends[piece] - order >= length
+    order, piece = order[whole], piece[whole]
     new = common_prefixes(text, order, length) < length
-    if not len(order):
-        return order, order, order
-    new[0] = True
-    owner = doc[use][piece]
-    low = np.minimum.reduceat(owner, np.flatnonzero(new))[np.cumsum(new) - 1]
-    gone = owner > low
-    place = order[gone] - np.concatenate(([0], ends[:-1] + 1))[piece[gone]] + start[use][piece[gone]]
-    return owner[gone], place, place + length
+    new[:1] = True
+    low = np.minimum.reduceat(least[piece], np.flatnonzero(new))[np.cumsum(new) - 1]
+    return piece, order - np.concatenate(([0], ends[:-1] + 1))[piece], low
 
 
-def windows_found(table: pa.Table, n_doc_parts: int, length: int) -> pa.Table:
+def windows_found(table: pa.Table, length: int) -> pa.Table:
     """One reducer's answer: intervals to remove, per document part."""
     cols = {c: table.column(c).to_pylist() for c in SENT_SCHEMA.names[1:] if c != "bytes"}
     join = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in cols[c]])
-    key, doc, start, count = join("keys", np.uint64), join("docs", np.int64), join("starts", np.int64), join("windows", "<u2").astype(np.int64)
-    found = [[join("found_docs", np.int64)], [join("found_starts", np.int64)], [join("found_ends", np.int64)]]
-
-    def known(d, s, e):
-        for f, x in zip(found, (d, s, e)):
-            f.append(x)
-
+    key, doc, variant, start, count, part = join("keys", np.uint64), join("docs", np.int64), join("variants", np.int32), join("starts", np.int64), join("windows", "<u2").astype(np.int64), join("parts", np.int32)
+    found = [join("found", SPAN)]
     if len(key):
         raw = b"".join([memoryview(x.as_buffer()) for x in table.column("bytes")])
         at = np.concatenate(([0], np.cumsum(count + length - 1)))
         by_key = np.argsort(key, kind="stable")
         for some in batches_of(by_key, key[by_key], at):
-            # equal contexts: all but the smallest document's are known
+            # equal contexts are sorted once, for all their owners
             number: dict = {}
             cls = np.array([number.setdefault((key[i], raw[at[i] : at[i + 1]]), len(number)) for i in some])
-            least = np.full(len(number), np.iinfo(np.int64).max)
+            least, most = np.full(len(number), np.iinfo(np.int64).max), np.full(len(number), np.iinfo(np.int64).min)
             np.minimum.at(least, cls, doc[some])
-            later = doc[some] > least[cls]
-            gone = some[later]
-            known(doc[gone], start[gone], start[gone] + count[gone] + length - 1)
-            # anchors of a single context have nothing to be compared with
+            np.maximum.at(most, cls, doc[some])
+            # contexts of one document whose anchor has no other have nothing to be compared with
             _, inv, size = np.unique(np.array([k for k, _ in number], np.uint64), return_inverse=True, return_counts=True)
-            use = some[~later & (size[inv] > 1)[cls]]
-            if len(use):
-                known(*sorted_out(raw, at, use, doc, start, length))
-    d, a, z = merged(*(np.concatenate(f) for f in found))
-    part = d % n_doc_parts
-    o = np.argsort(part, kind="stable")
-    d, a, z, part = d[o], a[o], z[o], part[o]
-    cut = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(d) else np.zeros(0, int)
-    rows = [(int(part[s]), d[s:e].tobytes(), a[s:e].tobytes(), z[s:e].tobytes()) for s, e in zip(cut, np.append(cut[1:], len(d)))]
-    return pa.table({"part": pa.array([r[0] for r in rows], pa.int32())} | {n: pa.array([r[k] for r in rows], pa.binary()) for k, n in ((1, "docs"), (2, "starts"), (3, "ends"))})
+            use = np.flatnonzero((size[inv] > 1) | (most > least))
+            if not len(use):
+                continue
+            pieces = [c for _, c in number]
+            piece, place, low = sorted_out([pieces[i] for i in use], least[use], length)
+            new_number = np.full(len(number), -1)
+            new_number[use] = np.arange(len(use))
+            # an owner with a larger doc_id than all of its windows' smallest loses the whole context, the smallest owner single windows
+            highest = np.full(len(use), -1, np.int64)
+            np.maximum.at(highest, piece, low)
+            mine = new_number[cls]
+            some, mine = some[mine >= 0], mine[mine >= 0]
+            gone = doc[some] > highest[mine]
+            x = some[gone]
+            found.append(spans(part[x], doc[x], variant[x], start[x], start[x] + count[x] + length - 1))
+            x, mine = some[~gone], mine[~gone]
+            single = low < least[use][piece]
+            piece, place = piece[single], place[single]
+            o = np.argsort(piece, kind="stable")
+            piece, place = piece[o], place[o]
+            lo, hi = np.searchsorted(piece, mine), np.searchsorted(piece, mine, side="right")
+            owner = np.repeat(x, hi - lo)
+            where = start[owner] + place[np.repeat(lo - np.concatenate(([0], np.cumsum(hi - lo)[:-1])), hi - lo) + np.arange(len(owner))] if len(owner) else np.zeros(0, np.int64)
+            found.append(spans(part[owner], doc[owner], variant[owner], where, where + length))
+    x = merged(np.concatenate(found))
+    cut = np.flatnonzero(np.concatenate(([True], x["part"][1:] != x["part"][:-1]))) if len(x) else np.zeros(0, int)
+    rows = [(int(x["part"][s]), x[s:e].tobytes()) for s, e in zip(cut, np.append(cut[1:], len(x)))]
+    return pa.table({"part": pa.array([r[0] for r in rows], pa.int32()), "found": pa.array([r[1] for r in rows], pa.binary())})
 
 
 #: Names that a table of documents won't have.
@@ -497,19 +508,17 @@ ID, PART = "_lodestream_id", "_lodestream_part"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def cut_out(left: pa.Table, right: pa.Table, rewrite: bool) -> pa.Table:
+def cut_out(left: pa.Table, right: pa.Table, length: int, rewrite: bool) -> pa.Table:
     """What is left of a part's documents: digests, or their rows with the text rewritten."""
     ids, whole = left.column(ID).to_pylist(), [t or b"" for t in utf8(left.column("text"))]
-    taking = taking_part(ids, whole)
-    join = lambda c: np.concatenate([np.frombuffer(x, np.int64) for x in right.column(c).to_pylist()] or [np.zeros(0, np.int64)])
-    d, a, z = merged(join("docs"), join("starts"), join("ends"))
-    lo = {}
-    if len(d):
-        cut = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1])))
-        lo = {int(d[s]): (s, e) for s, e in zip(cut.tolist(), [*cut[1:].tolist(), len(d)])}
+    x = merged(np.concatenate([np.zeros(0, SPAN), *(np.frombuffer(b, SPAN) for b in right.column("found").to_pylist())]))
+    a, z, lo = x["start"], x["end"], {}
+    if len(x):
+        cut = np.flatnonzero(np.concatenate(([True], (x["doc"][1:] != x["doc"][:-1]) | (x["variant"][1:] != x["variant"][:-1]))))
+        lo = {(int(x["doc"][s]), int(x["variant"][s])): (s, e) for s, e in zip(cut.tolist(), [*cut[1:].tolist(), len(x)])}
     out = []
-    for i, t, part in zip(ids, whole, taking):
-        s, e = lo.get(i, (0, 0)) if part is not None else (0, 0)
+    for i, t, v in zip(ids, whole, variants(ids, whole, length)):
+        s, e = lo.get((i, v), (0, 0))
         kept, at, gone = [], 0, 0
         for x, y in zip(a[s:e].tolist(), z[s:e].tolist()):
             kept.append(t[at:x])
@@ -537,17 +546,20 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, rewr
     rewrite: the rows of docs instead, with the bytes gone from text and n_chars
     counted again.
     """
-    spark = docs.sparkSession
-    parts = partitions(spark)
-    n_doc_parts = parts | 1
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    placed = base.withColumn("part", F.coalesce(F.pmod("doc_id", F.lit(n_doc_parts)), F.lit(0)).cast("int"))
-    rows = anchor_rows(base, parts, n_doc_parts, length, gram)
+    least = partitions(docs.sparkSession)
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0))).first()[0]
+    parts, n_doc_parts = max(least, size // ASK_PART), max(least, size // DOC_PART) | 1
+
+    def part_of(doc_id: str):
+        h = F.when(F.col(doc_id).isNotNull(), F.xxhash64(doc_id)).otherwise(F.xxhash64("text"))
+        return F.pmod(h, F.lit(n_doc_parts)).cast("int")
+
+    placed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("part", part_of("doc_id"))
+    rows = anchor_rows(placed, parts, length, gram)
     shared = materialize(rows.groupBy("p").applyInArrow(lambda t: shared_anchors(t), "part int, keys binary"))
     sent = placed.where(F.octet_length("text") >= length).groupBy("part").cogroup(shared.groupBy("part")).applyInArrow(lambda l, r: contexts(l, r, parts, length, gram), SENT)
-    found = materialize(sent.groupBy("q").applyInArrow(lambda t: windows_found(t, n_doc_parts, length), "part int, docs binary, starts binary, ends binary"))
+    found = materialize(sent.groupBy("q").applyInArrow(lambda t: windows_found(t, length), "part int, found binary"))
     drop(shared)
-    own = (docs if rewrite else base).withColumn(ID, F.col("doc_id").cast("long"))
-    own = own.withColumn(PART, F.coalesce(F.pmod(ID, F.lit(n_doc_parts)), F.lit(0)).cast("int"))
+    own = (docs if rewrite else placed.drop("part")).withColumn(ID, F.col("doc_id").cast("long")).withColumn(PART, part_of(ID))
     schema = docs.schema if rewrite else RESULT
-    return own.groupBy(PART).cogroup(found.groupBy("part")).applyInArrow(lambda l, r: cut_out(l, r, rewrite), schema)
+    return own.groupBy(PART).cogroup(found.groupBy("part")).applyInArrow(lambda l, r: cut_out(l, r, length, rewrite), schema)

@@ -95,9 +95,25 @@ def test_very_long_texts_are_cut_with_an_overlap(spark):
 def test_null_and_repeated_ids(spark):
     t = "the quick brown fox jumps over the lazy dog again and again until night"
     df = spark.createDataFrame([(None, t), (3, t), (3, t), (4, t), (4, "other text " * 9)], "doc_id long, text string")
-    got = sorted(((r.doc_id or -1), r.n_removed) for r in suffixes.remove_repeats(df).collect())
-    # of the texts of document 4 the smallest takes part
-    assert got == [(-1, 0), (3, 0), (3, 0), (4, 0), (4, 0)]
+    got = sorted(((r.doc_id or -1), r.n_bytes, r.n_removed) for r in suffixes.remove_repeats(df).collect())
+    # all texts of document 4 take part
+    assert got == [(-1, 71, 0), (3, 71, 0), (3, 71, 0), (4, 71, 71), (4, 99, 0)]
+
+
+def test_repeated_ids_equal_brute_force(spark):
+    rng = random.Random(11)
+    rows = [(i % 25, t) for i, t in documents()] + [(rng.randrange(25), t) for _, t in documents()[:30]]
+    want = {}
+    for k, (i, t) in enumerate(rows):
+        raw = (t or "").encode()
+        gone = [False] * len(raw)
+        for s in range(len(raw) - 49):
+            if any(j < i and raw[s : s + 50] in (u or "").encode() for j, u in rows):
+                gone[s : s + 50] = [True] * 50
+        want.setdefault((i, hashlib.sha256(raw).hexdigest()), []).append((len(raw), sum(gone), hashlib.sha256(bytes(c for c, g in zip(raw, gone) if not g)).hexdigest()))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = [(r.doc_id, r.n_bytes, r.n_removed, r.kept_sha256) for r in suffixes.remove_repeats(df).collect()]
+    assert sorted(got) == sorted((i, *x) for (i, _), xs in want.items() for x in xs)
 
 
 def test_empty_table(spark):
@@ -127,10 +143,9 @@ def test_batches_of_whole_anchors_change_nothing():
             anchor.append(k)
     raw, at = b"".join(pieces), np.concatenate(([0], np.cumsum([len(p) for p in pieces])))
     use, anchor, doc = np.arange(len(pieces)), np.array(anchor), rng.permutation(len(pieces))
-    start = np.arange(len(pieces)) * 10
     batches = list(sx.batches_of(use, anchor, at, most=150))
     assert len(batches) > 3 and np.concatenate(batches).tolist() == use.tolist()
     assert all(not set(anchor[a]) & set(anchor[b]) for a, b in zip(batches, batches[1:]))
-    whole = sorted(zip(*(x.tolist() for x in sx.sorted_out(raw, at, use, doc, start, 50))))
-    cut = sorted(t for b in batches for t in zip(*(x.tolist() for x in sx.sorted_out(raw, at, b, doc, start, 50))))
-    assert whole and whole == cut
+    found = lambda some: [(some[p], w, low) for p, w, low in zip(*(x.tolist() for x in sx.sorted_out([pieces[i] for i in some], doc[some], 50)))]
+    whole, cut = sorted(found(use)), sorted(t for b in batches for t in found(b))
+    assert any(low < doc[i] for i, _, low in whole) and whole == cut
