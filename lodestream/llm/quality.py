@@ -1,29 +1,33 @@
 """Quality classifier learned from positives and unlabelled text (non-negative PU risk).
 
-Trusted positives are documents labelled 1. Everything else the learner sees is
-unlabelled. With class prior pi, logistic loss l and a scorer g on shape
-features of whole texts, it minimises
+Trusted positives are documents labelled 1; labels of 0 are never looked at.
+Every document is unlabelled text. With class prior pi, loss l(z) = (1 - z)^2 / 4
+and a scorer g, linear in shape features of whole texts, their squares and
+products, it minimises
 
     pi * E_p[l(g)] + max(0, E_u[l(-g)] - pi * E_p[l(-g)])
 
-by full-batch gradient steps; where the second term is negative its gradient
-is left out (non-negative risk). The prior is the share of positives among the
-labelled training rows, whose labels are a sample of the corpus; the scorer is
-linear in the features, their squares and products. Scores are brought to the
-scale of probabilities by a monotone two-parameter fit on the labelled training
-rows.
+The risk and its gradient are functions of first and second moments, so E_u is
+taken over all rows of the corpus exactly, in one distributed pass; the driver
+sees one matrix whose size doesn't depend on the corpus. While the second term
+is negative its gradient is left out (non-negative risk).
 
-Fitting takes at most SAMPLE labelled and SAMPLE unlabelled rows, those of the
-smallest id hashes; features, scores and decisions cover every row. The model
-is a few thousand numbers.
+pi is estimated from positives and unlabelled text alone: for scores of
+positives that the scorer was not fitted to, the smallest share of unlabelled
+over share of positives above a threshold, with a confidence term that keeps
+thresholds with few positives out. Scores are brought to probabilities the same
+way: pi times the ratio of both histograms, made monotone.
+
+Fitting takes at most SAMPLE positives, those of the smallest id hashes;
+everything else covers every row. The model is a few hundred numbers.
 
 Never inputs of a score: labels, lang, source and doc_id.
 
 Defined results: a null or empty text has features zero and is scored like any
-other; repeated rows are scored alike and learned from once per doc_id; labels that are null, or rows without
-a label, are unlabelled; if there is no positive training label every score is
-the prior, and if there are no labels at all it is 0.5; an empty table gives no
-rows; extra columns are ignored.
+other; repeated rows are scored alike, count as unlabelled as often as they
+occur and as a positive once per doc_id; null labels, and labels of 0, are no
+labels; without FEW positive training labels every score is 0.5; equal scores
+are equal, in no order; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,11 +40,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_class
+from .common import crc_class, drop, materialize
 
-SAMPLE = 12_000
+#: Positives fitted to, at most; and at least.
+SAMPLE, FEW = 12_000, 8
 CUT = 0.7
 FEATURES = 24
+TERMS = FEATURES + FEATURES * (FEATURES + 1) // 2 + 1
+#: Ridge for many positives; for few of them it grows with the terms for each.
+RIDGE = 1e-3
 
 _WORDS = re.compile(r"\w+")
 
@@ -101,64 +109,93 @@ def expand(x: np.ndarray) -> np.ndarray:
     return np.concatenate([x, x[:, i] * x[:, j], np.ones((len(x), 1))], axis=1)
 
 
-def _soft(z):
-    return np.logaddexp(0, z)
-
-
-def _sigmoid(z):
-    return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
+class Model:
+    """score(x): a monotone function, by its `knots`, of the scorer; the scorer's 0.5 * (g + 1) estimates a probability."""
 
+    def __init__(self, mean, scale, weight, knots=None):
+        self.mean, self.scale, self.weight, self.knots = mean, scale, weight, knots
 
-class Model:
-    def __init__(self, mean, scale, weight, slope, shift):
-        self.mean, self.scale, self.weight, self.slope, self.shift = mean, scale, weight, slope, shift
+    def terms(self, x: np.ndarray) -> np.ndarray:
+        return expand(np.clip((x - self.mean) / self.scale, -6, 6))
 
     def raw(self, x: np.ndarray) -> np.ndarray:
-        return expand(np.clip((x - self.mean) / self.scale, -6, 6)) @ self.weight
+        return self.terms(x) @ self.weight
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return _sigmoid(self.slope * self.raw(x) + self.shift)
+        g = self.raw(x)
+        if self.knots is None:
+            return np.clip(0.5 * (g + 1), 0, 1)
+        # a small part of the scorer itself keeps its order where the monotone function is flat
+        return 0.998 * np.interp(g, *self.knots) + 0.002 / (1 + np.exp(-np.clip(g, -30, 30)))
 
 
 def constant(p: float) -> Model:
-    k = FEATURES + FEATURES * (FEATURES + 1) // 2 + 1
-    return Model(np.zeros(FEATURES), np.ones(FEATURES), np.zeros(k), 0.0, float(np.log(p / (1 - p))))
-
-
-def fit(x: np.ndarray, y: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, ridge: float = 1e-4) -> Model:
-    """x: features; y: 1 for trusted positives, 0 for unlabelled."""
-    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-3
-    z = expand(np.clip((x - mean) / scale, -6, 6))
-    p, u = z[y == 1], z[y == 0]
-    w = np.zeros(z.shape[1])
-    m, v = np.zeros_like(w), np.zeros_like(w)
-    for t in range(1, steps + 1):
-        gp, gu = p @ w, u @ w
-        sp, su = _sigmoid(gp), _sigmoid(gu)
-        negative = _soft(gu).mean() - prior * _soft(gp).mean()
-        grad = prior * (p.T @ (sp - 1)) / len(p) + ridge * w
-        if negative >= 0:
-            grad = grad + (u.T @ su) / len(u) - prior * (p.T @ sp) / len(p)
-        m = 0.9 * m + 0.1 * grad
-        v = 0.999 * v + 0.001 * grad * grad
-        w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return Model(mean, scale, w, 1.0, 0.0)
-
-
-def calibrate(model: Model, x: np.ndarray, y: np.ndarray) -> Model:
-    """Slope (kept positive) and shift of the score's log-odds, by Newton steps on labelled rows."""
-    g = model.raw(x)
-    centre, width = g.mean(), g.std() + 1e-6
-    q = np.stack([(g - centre) / width, np.ones_like(g)], axis=1)
-    target = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
-    a = np.array([1.0, 0.0])
-    for _ in range(50):
-        s = _sigmoid(q @ a)
-        h = (q * (s * (1 - s))[:, None]).T @ q + 1e-3 * np.eye(2)
-        a = a - np.linalg.solve(h, q.T @ (s - target) + 1e-3 * (a - [1, 0]))
-    a[0] = max(a[0], 1e-3)
-    model.slope, model.shift = a[0] / width, a[1] - a[0] * centre / width
-    return model
+    w = np.zeros(TERMS)
+    w[-1] = 2 * p - 1
+    return Model(np.zeros(FEATURES), np.ones(FEATURES), w)
+
+
+class Moments:
+    """Mean and second moment of the terms of a set of rows."""
+
+    def __init__(self, first: np.ndarray, second: np.ndarray):
+        self.first, self.second = first, second
+
+    @classmethod
+    def of(cls, z: np.ndarray) -> "Moments":
+        return cls(z.mean(axis=0), z.T @ z / len(z))
+
+    def loss(self, w: np.ndarray, sign: int) -> float:
+        """E[l(sign * g)]."""
+        return float(1 - 2 * sign * self.first @ w + w @ self.second @ w) / 4
+
+    def gradient(self, w: np.ndarray, sign: int) -> np.ndarray:
+        return (self.second @ w - sign * self.first) / 2
+
+
+def risk(w: np.ndarray, p: Moments, u: Moments, prior: float) -> tuple[float, np.ndarray]:
+    """The non-negative risk and the direction to descend in."""
+    negative = u.loss(w, -1) - prior * p.loss(w, -1)
+    grad = prior * p.gradient(w, 1)
+    if negative >= 0:
+        grad = grad + u.gradient(w, -1) - prior * p.gradient(w, -1)
+    return prior * p.loss(w, 1) + max(0.0, negative), grad
+
+
+def fit(p: Moments, u: Moments, prior: float, ridge: float = RIDGE, steps: int = 100) -> np.ndarray:
+    """Steps scaled by the unlabelled second moment: the first reaches the minimum if the risk is not clipped there."""
+    scale = u.second / 2 + ridge * np.eye(len(u.first))
+    w, best = np.zeros(len(u.first)), (np.inf, None)
+    for t in range(steps):
+        value, grad = risk(w, p, u, prior)
+        value += ridge / 2 * float(w @ w)
+        if value < best[0] - 1e-12:
+            best = (value, w)
+        elif t > 20:
+            break
+        w = w - np.linalg.solve(scale, grad + ridge * w) / (1 + t // 2)
+    return best[1]
+
+
+def class_prior(share_p: np.ndarray, share_u: np.ndarray, n_p: int, n_u: float) -> float:
+    """The smallest ratio of shares above a threshold, chosen with a bound on their errors."""
+    ok = share_p > 0
+    p, u = share_p[ok], share_u[ok]
+    width = np.sqrt(np.log(40) / 2 / n_p) + np.sqrt(np.log(40) / 2 / max(1.0, n_u))
+    k = int(np.argmin(u / p + 1.01 * width / p))
+    return float(np.clip(u[k] / p[k], 0.01, 0.99))
+
+
+def monotone(y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The nearest non-decreasing values (pool adjacent violators)."""
+    held: list[list[float]] = []
+    for v, w in zip(y, weight):
+        held.append([v, w, 1])
+        while len(held) > 1 and held[-2][0] >= held[-1][0]:
+            v2, w2, n2 = held.pop()
+            v1, w1, n1 = held.pop()
+            held.append([(v1 * w1 + v2 * w2) / (w1 + w2), w1 + w2, n1 + n2])
+    return np.concatenate([np.full(int(n), v) for v, _, n in held])
 
 
 def features(rows: DataFrame, *keep: str) -> DataFrame:
@@ -185,47 +222,101 @@ def sampled(ids: DataFrame, sample: int) -> DataFrame:
     return few.orderBy("_h", "doc_id").limit(sample).drop("_h")
 
 
-def one_each(rows: DataFrame, *keep: str) -> DataFrame:
-    """(keep..., x) once per doc_id, so that repeats of an id cannot outgrow the sample."""
-    return rows.groupBy("doc_id", *keep).agg(F.min("x").alias("x")).select(*keep, "x")
+def matrix(column) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy().reshape(-1, FEATURES) if isinstance(column, pa.ChunkedArray) else column.flatten().to_numpy().reshape(-1, FEATURES)
+
+
+def moments_of(feats: DataFrame, model: Model) -> tuple[Moments, int]:
+    """Moments over every row: each task sends its sums, term by term, and they are added up before the driver sees them."""
+
+    def run(batches):
+        n, first, second = 0, np.zeros(TERMS), np.zeros((TERMS, TERMS))
+        for b in batches:
+            for s in range(0, b.num_rows, 2000):
+                z = model.terms(matrix(b.slice(s, 2000).column("x")))
+                n, first, second = n + len(z), first + z.sum(axis=0), second + z.T @ z
+        v = np.concatenate(([n], first, second[np.triu_indices(TERMS)]))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(v), dtype=np.int32)), pa.array(v)], ["i", "v"])
+
+    t = feats.select("x").mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow().sort_by("i")
+    v = t.column("v").to_numpy()
+    second = np.zeros((TERMS, TERMS))
+    second[np.triu_indices(TERMS)] = v[1 + TERMS :]
+    second += np.triu(second, 1).T
+    return Moments(v[1 : 1 + TERMS] / v[0], second / v[0]), int(v[0])
+
 
+def counts_of(feats: DataFrame, model: Model, weights: list[np.ndarray], edges: np.ndarray) -> np.ndarray:
+    """(scorers, bins) numbers of rows between the edges, over every row."""
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Labels are taken as given: leave out of `labels` what must not be learned from."""
-    marks = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    ids = docs.select("doc_id").where("doc_id is not null").distinct()
-    texts = docs.select("doc_id", "text")
-    # both sides that are broadcast have at most `sample` rows of two numbers
-    labelled = texts.join(F.broadcast(sampled(ids.join(marks, "doc_id"), sample)), "doc_id")
-    got = one_each(features(labelled, "doc_id", "quality"), "quality").toArrow()
-    y = np.array(got.column("quality").to_pylist(), int)
-    x = np.array(got.column("x").to_pylist(), float).reshape(-1, FEATURES)
-    if not len(y):
+    def run(batches):
+        n = np.zeros((len(weights), len(edges) + 1), np.int64)
+        for b in batches:
+            for s in range(0, b.num_rows, 2000):
+                z = model.terms(matrix(b.slice(s, 2000).column("x")))
+                for k, w in enumerate(weights):
+                    n[k] += np.bincount(np.searchsorted(edges, z @ w, side="right"), minlength=len(edges) + 1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n.size, dtype=np.int32)), pa.array(n.ravel())], ["i", "n"])
+
+    t = feats.select("x").mapInArrow(run, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow().sort_by("i")
+    return t.column("n").to_numpy().reshape(len(weights), -1)
+
+
+def train(feats: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+    """feats (doc_id, x) of the corpus; labels are taken as given: leave out of them what must not be learned from."""
+    marks = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
+    # at most `sample` rows of one number are broadcast
+    chosen = feats.join(F.broadcast(sampled(marks, sample)), "doc_id").groupBy("doc_id").agg(F.min("x").alias("x")).select("x").toArrow()
+    x = matrix(chosen.column("x"))
+    if len(x) < FEW:
         return constant(0.5)
-    prior = float(np.clip(y.mean(), 0.01, 0.99))
-    if not y.any():
-        return constant(prior)
-    free = one_each(features(texts.join(F.broadcast(sampled(ids, sample)), "doc_id"), "doc_id")).toArrow()
-    u = np.array(free.column("x").to_pylist(), float).reshape(-1, FEATURES)
-    order = np.lexsort(x.T)  # rows come in any order; sums must not depend on it
-    x, y, u = x[order], y[order], u[np.lexsort(u.T)]
-    model = fit(np.concatenate([x[y == 1], u]), np.concatenate([np.ones(y.sum()), np.zeros(len(u))]), prior)
-    return calibrate(model, x, y)
+    x = x[np.lexsort(x.T)]  # rows come in any order; sums must not depend on it
+    value = lambda k: F.col("x")[k]
+    held = feats.agg(*[F.avg(value(k)) for k in range(FEATURES)], *[F.stddev_pop(value(k)) for k in range(FEATURES)]).first()
+    model = Model(np.array(held[:FEATURES]), np.array(held[FEATURES:]) + 1e-3, None)
+    u, n_u = moments_of(feats, model)
+    z = model.terms(x)
+    # scorers fitted to one half of the positives are looked at on the other; a prior of 1/2 serves, as it does not change their order
+    half = np.arange(len(z)) % 2
+    ridge = RIDGE + TERMS / len(z)
+    weights = [fit(Moments.of(z[half == k]), u, 0.5, ridge) for k in (0, 1)]
+    own = np.concatenate([z[half == 1 - k] @ weights[k] for k in (0, 1)])
+    edges = np.unique(np.quantile(own, np.linspace(0, 1, int(np.clip(len(z) // 30, 8, 400)) + 1)[:-1]))
+    n = counts_of(feats, model, weights, edges).sum(axis=0) / 2
+    n_p = np.bincount(np.searchsorted(edges, own, side="right"), minlength=len(edges) + 1)
+    above = lambda c: np.cumsum(c[::-1])[::-1] / c.sum()
+    prior = class_prior(above(n_p)[1:], above(n)[1:], len(z), n_u)
+    model.weight = fit(Moments.of(z), u, 0.5, ridge)
+    # bins of a few positives each, and the one below them all
+    ratio = prior * (n_p / len(z)) / np.maximum(n / n_u, 1e-12)
+    value = monotone(np.clip(ratio, 0, 1), np.maximum(n, 1))
+    centre = np.concatenate(([edges[0] - (edges[-1] - edges[0]) / 50 - 1e-6], (edges + np.append(edges[1:], edges[-1])) / 2))
+    model.knots = (centre, value)
+    model.prior = prior
+    return model
 
 
-def score(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
-    """(doc_id, score, predicted) of every row of docs."""
+def score(feats: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
+    """(doc_id, score, predicted) of every row of feats (doc_id, x)."""
 
     def run(batches):
         for b in batches:
-            for s in range(0, max(1, b.num_rows), 256):
-                part = b.slice(s, 256)
-                if part.num_rows:
-                    p = model.score(np.array([shape(t) for t in part.column("text").to_pylist()]))
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(p)], ["doc_id", "score"])
+            for s in range(0, b.num_rows, 2000):
+                part = b.slice(s, 2000)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(model.score(matrix(part.column("x"))))], ["doc_id", "score"])
 
-    out = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
-    return out.withColumn("predicted", (F.col("score") >= cut).cast("int"))
+    return feats.select("doc_id", "x").mapInArrow(run, "doc_id long, score double").withColumn("predicted", (F.col("score") >= cut).cast("int"))
+
+
+def features_of(docs: DataFrame) -> DataFrame:
+    return materialize(features(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id"))
+
+
+def train_on(docs: DataFrame, labels: DataFrame) -> Model:
+    feats = features_of(docs)
+    model = train(feats, labels)
+    drop(feats)
+    return model
 
 
 def accepted(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
@@ -243,5 +334,6 @@ def accepted(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
 
 def classify(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2) -> DataFrame:
     """(doc_id, held_out, score, predicted); labels of held-out ids are not looked at."""
-    model = train(docs, labels.where(crc_class("doc_id", folds) != held_out))
-    return score(docs, model).select("doc_id", F.coalesce(crc_class("doc_id", folds) == held_out, F.lit(False)).alias("held_out"), "score", "predicted")
+    feats = features_of(docs)
+    model = train(feats, labels.where(crc_class("doc_id", folds) != held_out))
+    return score(feats, model).select("doc_id", F.coalesce(crc_class("doc_id", folds) == held_out, F.lit(False)).alias("held_out"), "score", "predicted")

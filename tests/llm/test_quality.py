@@ -43,18 +43,68 @@ def test_labels_of_held_out_rows_change_nothing(spark):
     rows = corpus(400)
     docs, labels = frames(spark, rows)
     flipped = spark.createDataFrame([(i, 1 - q if held(i) else q) for i, _, q in rows if i % 2 == 0], "doc_id long, quality int")
-    a, b = (sorted((r.doc_id, r.score) for r in quality.classify(docs, lab).collect()) for lab in (labels, flipped))
-    assert a == b
-
-
-def test_the_risk_is_not_negative():
+    a, b = (dict((r.doc_id, r.score) for r in quality.classify(docs, lab).collect()) for lab in (labels, flipped))
+    assert a.keys() == b.keys() and all(abs(a[i] - b[i]) < 1e-9 for i in a)
+
+
+def test_risk_and_gradient_equal_sums_over_rows():
+    rng = np.random.default_rng(2)
+    p, u = rng.standard_normal((40, 6)) + 0.7, rng.standard_normal((90, 6))
+    loss = lambda z: (1 - z) ** 2 / 4
+    clipped = set()
+    for prior in (0.3, 0.8):
+        for size in (0.01, 0.5, 2):
+            w = rng.standard_normal(6) * size + (0.8 if prior > 0.5 else 0)
+            second = loss(-u @ w).mean() - prior * loss(-p @ w).mean()
+            clipped.add(second < 0)
+            value, grad = quality.risk(w, quality.Moments.of(p), quality.Moments.of(u), prior)
+            assert np.isclose(value, prior * loss(p @ w).mean() + max(0, second))
+            slow = prior * (-(1 - p @ w) / 2) @ p / len(p)
+            if second >= 0:
+                slow = slow + ((1 + u @ w) / 2) @ u / len(u) - prior * ((1 + p @ w) / 2) @ p / len(p)
+            assert np.allclose(grad, slow)
+    assert clipped == {True, False}
+
+
+def test_fit_lowers_the_risk_where_it_is_clipped_and_where_not():
     rng = np.random.default_rng(1)
-    x = rng.standard_normal((400, quality.FEATURES))
-    y = (np.arange(400) < 150).astype(int)
-    x[:150] += 1
-    m = quality.fit(x, y, prior=0.9, steps=300)
-    g = m.raw(x)
-    assert np.isfinite(g).all() and g[y == 1].mean() > g[y == 0].mean()
+    p, u = quality.expand(rng.standard_normal((150, 3)) + 1), quality.expand(rng.standard_normal((400, 3)))
+    for prior in (0.2, 0.9):
+        a, b = quality.Moments.of(p), quality.Moments.of(u)
+        w = quality.fit(a, b, prior)
+        value = quality.risk(w, a, b, prior)[0] + quality.RIDGE / 2 * w @ w
+        assert value <= quality.risk(np.zeros(len(w)), a, b, prior)[0] and (p @ w).mean() > (u @ w).mean()
+        for _ in range(50):
+            v = w + rng.standard_normal(len(w)) * 0.02
+            assert value <= quality.risk(v, a, b, prior)[0] + quality.RIDGE / 2 * v @ v + 1e-3
+
+
+def test_the_prior_comes_from_positives_and_unlabelled_text():
+    rng = np.random.default_rng(4)
+    for prior in (0.3, 0.6, 0.85):
+        p = rng.normal(2, 1, 3000)
+        u = np.where(rng.random(40_000) < prior, rng.normal(2, 1, 40_000), rng.normal(-2, 1, 40_000))
+        edges = np.quantile(p, np.linspace(0, 1, 200)[:-1])
+        got = quality.class_prior(np.array([(p >= e).mean() for e in edges]), np.array([(u >= e).mean() for e in edges]), len(p), len(u))
+        assert abs(got - prior) < 0.04
+
+
+def test_moments_and_counts_cover_every_row(spark):
+    docs, _ = frames(spark, corpus(300))
+    feats = quality.features_of(docs.repartition(5)).cache()
+    x = np.array([r.x for r in feats.collect()])
+    model = quality.Model(x.mean(axis=0), x.std(axis=0) + 1e-3, None)
+    got, n = quality.moments_of(feats, model)
+    want = quality.Moments.of(model.terms(x))
+    assert n == 300 and np.allclose(got.first, want.first) and np.allclose(got.second, want.second)
+    w = np.ones(quality.TERMS)
+    g = model.terms(x) @ w
+    edges = np.quantile(g, [0.2, 0.7])
+    assert quality.counts_of(feats, model, [w], edges).tolist() == [np.bincount(np.searchsorted(edges, g, side="right"), minlength=3).tolist()]
+
+
+def test_monotone_values():
+    assert quality.monotone(np.array([0.1, 0.5, 0.3, 0.9]), np.ones(4)).tolist() == [0.1, 0.4, 0.4, 0.9]
 
 
 def test_odd_texts_and_missing_labels(spark):
@@ -72,7 +122,8 @@ def test_odd_texts_and_missing_labels(spark):
 
 def test_accepted_rows_are_the_predicted_ones(spark):
     docs, labels = frames(spark, corpus(300))
-    model = quality.train(docs, labels)
-    want = {r.doc_id for r in quality.score(docs, model).where("predicted = 1").collect()}
+    feats = quality.features_of(docs)
+    model = quality.train(feats, labels)
+    want = {r.doc_id for r in quality.score(feats, model).where("predicted = 1").collect()}
     kept = quality.accepted(docs, model)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == want
