@@ -12,7 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows that go to Python at a time, unless the session has its own number: texts are long.
+BATCH_ROWS, BATCH = "1000", "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if spark.conf.get(BATCH) == "10000":  # Spark's default
+        spark.conf.set(BATCH, BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -81,6 +87,22 @@ def worker_cache() -> dict:
     return m.__dict__.setdefault("held", {})
 
 
+def tidy(run):
+    """A function for mapInArrow that gives freed memory back when its task ends: workers live on, with other tasks beside them."""
+
+    def wrapped(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux":
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def crc_class(col: str, n: int):
     """crc32 of the id's decimal text, modulo n."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % n

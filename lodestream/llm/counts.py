@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import delete, partitions, scratch
+from .common import delete, partitions, scratch, tidy
 from .tokens import Encoder, default_tokenizer
 
 KEYS = ["source", "lang", "version"]
@@ -55,7 +55,7 @@ def subword_counts(docs: DataFrame, tokenizer: str | None = None, block: int = 2
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(n)], [*keep, "n_tokens"])
 
     rows = docs.select(*keep, F.col("text").cast("string"))
-    return rows.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in keep) + ", n_tokens long")
+    return rows.mapInArrow(tidy(run), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in keep) + ", n_tokens long")
 
 
 class Rollup:

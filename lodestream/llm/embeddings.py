@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .buckets import cells, whole_cells
-from .common import materialize
+from .common import materialize, tidy
 from .components import components
 
 THRESHOLD = 0.98
@@ -74,7 +74,7 @@ def links(classes: DataFrame, threshold: float = THRESHOLD, bits: int = BITS, ta
                         ["rep", "label", "n", "t", "dim", "bucket", "x", "sigs"],
                     )
 
-    rows = classes.select("rep", "label", "n", "v").mapInArrow(hashed, "rep long, label long, n long, t int, dim int, bucket long, x binary, sigs binary")
+    rows = classes.select("rep", "label", "n", "v").mapInArrow(tidy(hashed), "rep long, label long, n long, t int, dim int, bucket long, x binary, sigs binary")
     rows = rows.withColumn("key", F.xxhash64("label", "dim", "t", "bucket"))
 
     def compare(batches):
@@ -88,7 +88,7 @@ def links(classes: DataFrame, threshold: float = THRESHOLD, bits: int = BITS, ta
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], ["a", "b", "n"])
 
     met = cells(rows, "rep", block).select("key", "ci", "cj", "side", "rep", "n", "t", "dim", "label", "x", "sigs")
-    return met.mapInArrow(compare, "a long, b long, n long")
+    return met.mapInArrow(tidy(compare), "a long, b long, n long")
 
 
 def one_cell(cell: pa.Table, a: list, b: list, n: list, threshold: float) -> None:

@@ -203,8 +203,10 @@ def features(rows: DataFrame, *keep: str) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            x = [shape(t) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(x, pa.list_(pa.float64()))], [*keep, "x"])
+            for s in range(0, b.num_rows, 256):
+                part = b.slice(s, 256)
+                x = [shape(t) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(x, pa.list_(pa.float64()))], [*keep, "x"])
 
     chosen = rows.select(*keep, F.col("text").cast("string"))
     return chosen.mapInArrow(run, ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in chosen.schema if f.name in keep] + ["x array<double>"]))

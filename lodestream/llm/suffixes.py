@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, materialize, partitions, worker_cache
+from .common import drop, materialize, partitions, tidy, worker_cache
 
 LENGTH = 50
 GRAM = 20
@@ -207,7 +207,7 @@ def anchor_rows(docs: DataFrame, parts: int, length: int, gram: int) -> DataFram
         if acc:
             yield emit(acc)
 
-    return docs.mapInArrow(run, "p int, doc_parts binary, sizes binary, keys binary")
+    return docs.mapInArrow(tidy(run), "p int, doc_parts binary, sizes binary, keys binary")
 
 
 def shared_anchors(table: pa.Table) -> pa.Table:
