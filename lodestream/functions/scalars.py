@@ -84,15 +84,15 @@ def timestamp_text(c: Column) -> Column:
     return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
 
-def sniff_ext(head: Column) -> Column:
-    """Extension by content, only where it is sure."""
-    t = F.ltrim(head)
-    return (
-        F.when(t.startswith("LAMMPS Description"), "data")
-        .when(t.startswith("{") | t.startswith("["), "json")
-        .when(t.startswith("set type"), "inc")
-        .when(t.startswith("units") | t.contains("pair_coeff"), "lmp")
-    )
+#: What a file's text begins with, or holds anywhere, and its extension; the first that fits counts.
+BEGINS = (("LAMMPS Description", "data"), ("{", "json"), ("[", "json"), ("set type", "inc"), ("units", "lmp"))
+HOLDS = (("pair_coeff", "lmp"),)
+
+
+def content_extension(head: Column) -> Column:
+    """Extension by content; NULL where nothing is certain."""
+    text = F.ltrim(head)
+    return F.coalesce(*[F.when(text.startswith(x), F.lit(ext)) for x, ext in BEGINS], *[F.when(text.contains(x), F.lit(ext)) for x, ext in HOLDS])
 
 
 #: Extensions of known file roles.
@@ -103,7 +103,7 @@ def friendly_names(files: DataFrame, key: str = "artifact_id") -> DataFrame:
     """(key, role, head) -> the same with name: a leaf with an extension is kept, else role and content name it; later roles that collide carry their role."""
     leaf = F.element_at(F.split("role", "/"), -1)
     real = leaf.contains(".") & ~leaf.startswith(".")
-    ext = F.coalesce(*[F.when(leaf == k, F.lit(v)) for k, v in ROLE_EXT.items()], sniff_ext(F.col("head")), F.when(leaf.isin("data", "topology"), F.lit("data")), F.lit("dat"))
+    ext = F.coalesce(*[F.when(leaf == k, F.lit(v)) for k, v in ROLE_EXT.items()], content_extension(F.col("head")), F.when(leaf.isin("data", "topology"), F.lit("data")), F.lit("dat"))
     name = F.when(real, sanitize(leaf)).otherwise(F.concat(sanitize(F.when(leaf == "data", F.lit("system")).otherwise(leaf)), F.lit("."), ext))
     w = W.partitionBy(key, "name").orderBy("role")
     turn = F.row_number().over(w)
@@ -147,16 +147,16 @@ def state_parse(c: Column) -> Column:
 
 #: Terminal accounting states, as (type, category, recoverable).
 STATES = {
-    "TIMEOUT": ("timeout", "resource_error", True),
-    "OUT_OF_MEMORY": ("out_of_memory", "resource_error", True),
-    "NODE_FAIL": ("node_failure", "environment_error", True),
-    "BOOT_FAIL": ("node_failure", "environment_error", True),
-    "PREEMPTED": ("preempted", "environment_error", True),
-    "REVOKED": ("preempted", "environment_error", True),
-    "CANCELLED": ("cancelled", "environment_error", False),
+    "TIMEOUT": ("slurm_timeout", "resource_error", True),
+    "OUT_OF_MEMORY": ("slurm_out_of_memory", "resource_error", True),
+    "NODE_FAIL": ("slurm_node_failure", "environment_error", True),
+    "BOOT_FAIL": ("slurm_node_failure", "environment_error", True),
+    "PREEMPTED": ("slurm_preempted", "environment_error", True),
+    "REVOKED": ("slurm_preempted", "environment_error", True),
+    "CANCELLED": ("slurm_cancelled", "environment_error", False),
 }
-OTHER_STATE = ("job_failed", "execution_error", False)
-NO_STATE = ("job_lost", "resource_error", True)
+OTHER_STATE = ("slurm_job_failed", "execution_error", False)
+NO_STATE = ("slurm_job_lost", "resource_error", True)
 
 
 def state_taxonomy(state: Column) -> Column:
@@ -261,8 +261,8 @@ QUERIES = {
     "sanitize": lambda s, d: tbl(s, d, "pages").select("page_id", sanitize(F.col("url")).alias("name")),
     "split_ref": lambda s, d: tbl(s, d, "part").select("p_partkey", *split_ref(F.when(F.col("p_size") % 2 == 0, F.concat("p_brand", F.lit("@"), "p_type")).otherwise(F.col("p_brand")))),
     "run_dir": lambda s, d: tbl(s, d, "orders").select("o_orderkey", run_dir(F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority")), F.col("o_orderstatus"), F.concat(F.lit("wr_"), hexid(F.col("o_orderkey"))), F.col("o_orderdate")).alias("dir"), timestamp_text(F.col("o_orderdate")).alias("at")),
-    "sniff_ext": lambda s, d: tbl(s, d, "part").select("p_partkey", sniff_ext(F.concat(F.when(F.col("p_size") % 6 == 0, "  LAMMPS Description").when(F.col("p_size") % 6 == 1, '{"a"').when(F.col("p_size") % 6 == 2, "set type 1").when(F.col("p_size") % 6 == 3, "units real").when(F.col("p_size") % 6 == 4, "x pair_coeff").otherwise("zz"), F.col("p_name"))).alias("ext")),
-    "friendly_name": lambda s, d: friendly_names(tbl(s, d, "lineitem").where("l_linenumber <= 3").select(F.col("l_orderkey").alias("artifact_id"), F.when(F.col("l_linenumber") == 1, "data").when(F.col("l_linenumber") == 2, "sub/system.data").otherwise("charges").alias("role"), F.lit("zz").alias("head")).distinct()),
+    "sniff_ext": lambda s, d: tbl(s, d, "part").select("p_partkey", content_extension(F.concat(F.when(F.col("p_size") % 6 == 0, "  LAMMPS Description").when(F.col("p_size") % 6 == 1, '{"a"').when(F.col("p_size") % 6 == 2, "set type 1").when(F.col("p_size") % 6 == 3, "units real").when(F.col("p_size") % 6 == 4, "x pair_coeff").otherwise("zz"), F.col("p_name"))).alias("ext")),
+    "friendly_name": lambda s, d: friendly_names(tbl(s, d, "lineitem").select(F.col("l_orderkey").alias("artifact_id"), F.when(F.col("l_linenumber") == 1, "data").when(F.col("l_linenumber") == 2, "sub/system.data").otherwise("charges").alias("role"), F.lit("zz").alias("head")).distinct()),
     "mem_norm": lambda s, d: tbl(s, d, "part").select("p_partkey", memory_spec(F.concat(F.col("p_size").cast("string"), F.when(F.col("p_size") % 4 == 0, "GB").when(F.col("p_size") % 4 == 1, " mb").when(F.col("p_size") % 4 == 2, "").otherwise("T"))).alias("mem")),
     "walltime": lambda s, d: tbl(s, d, "part").select("p_partkey", walltime(F.concat(F.col("p_size").cast("string"), F.when(F.col("p_size") % 5 == 0, ".5 h").when(F.col("p_size") % 5 == 1, " s").when(F.col("p_size") % 5 == 2, ":30").when(F.col("p_size") % 5 == 3, "d").otherwise(" furlong"))).alias("time")),
     "state_parse": lambda s, d: tbl(s, d, "orders").select("o_orderkey", state_parse(F.concat(F.lit("\n \n"), F.when(F.col("o_orderkey") % 3 == 0, "cancelled by 3|x").when(F.col("o_orderkey") % 3 == 1, "Timeout.batch|").otherwise("FAILED"), F.lit("\nmore"))).alias("state")),
@@ -292,11 +292,11 @@ ORACLES = {
     "split_ref": "SELECT p_partkey, p_brand AS name, CASE WHEN p_size % 2 = 0 THEN p_type END AS version FROM part",
     "run_dir": "SELECT o_orderkey, regexp_replace(CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority ELSE o_orderstatus END, '[^A-Za-z0-9._-]', '_', 'g') || '/' || strftime(o_orderdate, '%Y-%m-%d_%H-%M') || '_' || o_orderstatus || '_wr_' || left(md5(o_orderkey::VARCHAR), 8) AS dir, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%gZ') AS at FROM orders",
     "sniff_ext": "SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN 'data' WHEN 1 THEN 'json' WHEN 2 THEN 'inc' WHEN 3 THEN 'lmp' WHEN 4 THEN 'lmp' END AS ext FROM part",
-    "friendly_name": "SELECT DISTINCT l_orderkey AS artifact_id, CASE l_linenumber WHEN 1 THEN 'data' WHEN 2 THEN 'sub/system.data' ELSE 'charges' END AS role, 'zz' AS head, CASE l_linenumber WHEN 1 THEN 'system.data' WHEN 2 THEN CASE WHEN EXISTS (SELECT 1 FROM lineitem m WHERE m.l_orderkey = l.l_orderkey AND m.l_linenumber = 1) THEN 'system__sub_system.data.data' ELSE 'system.data' END ELSE 'charges.inc' END AS name FROM lineitem l WHERE l_linenumber <= 3",
+    "friendly_name": "SELECT DISTINCT l_orderkey AS artifact_id, CASE l_linenumber WHEN 1 THEN 'data' WHEN 2 THEN 'sub/system.data' ELSE 'charges' END AS role, 'zz' AS head, CASE l_linenumber WHEN 1 THEN 'system.data' WHEN 2 THEN CASE WHEN EXISTS (SELECT 1 FROM lineitem m WHERE m.l_orderkey = l.l_orderkey AND m.l_linenumber = 1) THEN 'system__sub_system.data.data' ELSE 'system.data' END ELSE 'charges.inc' END AS name FROM lineitem l",
     "mem_norm": "SELECT p_partkey, p_size || CASE p_size % 4 WHEN 0 THEN 'G' WHEN 1 THEN 'M' WHEN 2 THEN 'M' ELSE 'T' END AS mem FROM part",
     "walltime": "SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN cast((p_size + 0.5) * 60 AS BIGINT)::VARCHAR WHEN 1 THEN '1' WHEN 2 THEN p_size || ':30' WHEN 3 THEN cast(p_size * 1440 AS BIGINT)::VARCHAR END AS time FROM part",
     "state_parse": "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'CANCELLED' WHEN 1 THEN 'TIMEOUT' ELSE 'FAILED' END AS state FROM orders",
-    "state_taxonomy": "SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'timeout' WHEN 1 THEN 'node_failure' WHEN 2 THEN 'cancelled' WHEN 3 THEN 'job_failed' ELSE 'job_lost' END AS type, CASE o_orderkey % 5 WHEN 1 THEN 'environment_error' WHEN 2 THEN 'environment_error' WHEN 3 THEN 'execution_error' ELSE 'resource_error' END AS category, o_orderkey % 5 NOT IN (2, 3) AS recoverable FROM orders",
+    "state_taxonomy": "SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'slurm_timeout' WHEN 1 THEN 'slurm_node_failure' WHEN 2 THEN 'slurm_cancelled' WHEN 3 THEN 'slurm_job_failed' ELSE 'slurm_job_lost' END AS type, CASE o_orderkey % 5 WHEN 1 THEN 'environment_error' WHEN 2 THEN 'environment_error' WHEN 3 THEN 'execution_error' ELSE 'resource_error' END AS category, o_orderkey % 5 NOT IN (2, 3) AS recoverable FROM orders",
     "submit_class": "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'environment_error' ELSE 'resource_error' END AS category FROM part",
     "error_category": "SELECT p_partkey, ['input_error','input_error','protocol_error','task_error','provider_error','execution_error','scientific_validation','compatibility_error','not_found','environment_error','internal',NULL][p_size % 12 + 1] AS category, p_size % 12 IN (4, 5, 9) AS recoverable FROM part",
     "retry_decision": "SELECT p_partkey, 2 > p_size % 4 AND ((p_size % 2 = 0 AND p_size % 5 = 0) OR (p_size % 2 = 1 AND p_size % 3 = 0)) AS retry FROM part",

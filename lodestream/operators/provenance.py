@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import types
 from ..sources import tables as src
+from ..sources.store import settled
 
 DEPTH = 32
 
@@ -156,45 +157,67 @@ def text_search(catalog: DataFrame, query: str, *columns: str, tags: str | None
 def lineage(edges: DataFrame, start: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(node, ancestor, depth) upstream of start (node), the start itself at depth 0; cut below `depth`.
 
-    Level by level, each level distinct, so a node that is reached by several
-    ways is followed once; ends with the first empty level.
+    Level by level, each level distinct and settled, so a node that is reached
+    by several ways is followed once; ends with the first empty level.
     """
     return _walk(edges.select(F.col("child").alias("a"), F.col("parent").alias("b")), start, depth)
 
 
-def downstream(edges: DataFrame, start: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(node, reached) of everything that depends on start, itself included."""
-    walked = _walk(edges.select(F.col("parent").alias("a"), F.col("child").alias("b")), start, depth)
-    return walked.select("node", F.col("ancestor").alias("reached")).distinct()
+def downstream(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """(node, reached) of everything that depends on start, itself included, however far."""
+    walked = _walk(edges.select(F.col("parent").alias("a"), F.col("child").alias("b")), start, None)
+    return walked.select("node", F.col("ancestor").alias("reached"))
 
 
-def _walk(steps: DataFrame, start: DataFrame, depth: int) -> DataFrame:
-    spark = steps.sparkSession
-    steps.createOrReplaceTempView("_walk_steps")
-    start.select("node").distinct().createOrReplaceTempView("_walk_start")
-    return spark.sql(f"""
-        WITH RECURSIVE w(node, ancestor, depth) MAX RECURSION LEVEL {depth + 1} AS (
-          SELECT node, node, 0 FROM _walk_start UNION ALL
-          SELECT w.node, s.b, w.depth + 1 FROM w JOIN _walk_steps s ON w.ancestor = s.a WHERE w.depth < {depth})
-        SELECT node, ancestor, min(depth) AS depth FROM w GROUP BY node, ancestor""")
+def _walk(steps: DataFrame, start: DataFrame, depth: int | None) -> DataFrame:
+    """(node, ancestor, least depth); a cycle ends where it has been."""
+    steps = steps.distinct()
+    level = settled(start.select("node", F.col("node").alias("ancestor")).distinct().withColumn("depth", F.lit(0)))
+    seen, k = level, 0
+    while depth is None or k < depth:
+        k += 1
+        new = level.join(steps, level.ancestor == steps.a).select("node", F.col("b").alias("ancestor")).distinct()
+        level = settled(new.join(seen.select("node", "ancestor"), ["node", "ancestor"], "left_anti").withColumn("depth", F.lit(k)))
+        if level.isEmpty():
+            break
+        seen = seen.union(level) if k % 16 else settled(seen.union(level))
+    return seen
 
 
-def levels(edges: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(node, level): longest path from a node without parents; the order in which steps can run."""
-    spark = edges.sparkSession
-    edges.createOrReplaceTempView("_level_edges")
-    return spark.sql(f"""
-        WITH RECURSIVE r(node, level) MAX RECURSION LEVEL {depth + 1} AS (
-          SELECT DISTINCT p.parent, 0 FROM _level_edges p LEFT ANTI JOIN _level_edges c ON p.parent = c.child UNION ALL
-          SELECT e.child, r.level + 1 FROM r JOIN _level_edges e ON e.parent = r.node WHERE r.level < {depth})
-        SELECT node, max(level) AS level FROM r GROUP BY node""")
+def reached(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """(node) of start and everything below any of it: a set, not pairs."""
+    level = settled(start.select("node").distinct())
+    seen, k = level, 0
+    while not level.isEmpty():
+        k += 1
+        new = edges.join(level, edges.parent == level.node).select(F.col("child").alias("node")).distinct()
+        level = settled(new.join(seen, "node", "left_anti"))
+        seen = seen.union(level) if k % 16 else settled(seen.union(level))
+    return seen
 
 
-def propagate(steps: DataFrame, edges: DataFrame, depth: int = DEPTH) -> DataFrame:
+def levels(edges: DataFrame) -> DataFrame:
+    """(node, level): longest path from a node without parents; the order in which steps can run. A cycle is an error.
+
+    Nodes without parents are taken away, level by level, with their edges.
+    """
+    left = settled(edges.select("child", "parent").distinct())
+    out = left.select(F.col("parent").alias("node")).distinct().join(left.select(F.col("child").alias("node")), "node", "left_anti").withColumn("level", F.lit(0))
+    taken, k = None, 0
+    while not left.isEmpty():
+        free = left.select("parent").distinct().join(left.select(F.col("child").alias("parent")), "parent", "left_anti")
+        gone = settled(left.join(free, "parent", "left_semi").select(F.col("child").alias("node")).distinct().withColumn("level", F.lit(k + 1)))
+        if gone.isEmpty():
+            raise ValueError("the edges hold a cycle")
+        left = settled(left.join(free, "parent", "left_anti"))
+        taken, k = gone if taken is None else taken.union(gone) if k % 16 else settled(taken.union(gone)), k + 1
+    return settled(out if taken is None else out.union(taken.groupBy("node").agg(F.max("level").alias("level"))))
+
+
+def propagate(steps: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, status): a step below a skipped one is skipped, else below a failed one failed; skipped beats failed."""
-    bad = steps.where("status in ('SKIPPED', 'FAILED')").select("node", F.col("status").alias("cause"))
-    below = downstream(edges, bad.select("node"), depth).join(bad, "node").select(F.col("reached").alias("node"), "cause")
-    worst = below.groupBy("node").agg(F.max("cause").alias("cause"))  # SKIPPED > FAILED
+    below = [reached(edges, steps.where(F.col("status") == c).select("node")).withColumn("cause", F.lit(c)) for c in ("SKIPPED", "FAILED")]
+    worst = below[0].union(below[1]).groupBy("node").agg(F.max("cause").alias("cause"))  # SKIPPED > FAILED
     return steps.join(worst, "node", "left").select("node", F.coalesce("cause", "status").alias("status"))
 
 

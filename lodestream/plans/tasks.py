@@ -17,10 +17,16 @@ THERMO = {"series": {"type": "ThermodynamicSeries"}}
 TRAJECTORY = {"trajectory": {"type": "Trajectory"}}
 
 
+#: Rows of a result that is kept as a document; larger ones are tables, and asking for a document is an error.
+MOST_ROWS = 1_000_000
+
+
 def document(df, key: str | None = None) -> dict:
-    """The row of a result as data: one series at most, or rows by key."""
-    rows = [r.asDict(recursive=True) for r in df.limit(2 if key is None else 10_000).collect()]
+    """The row of a result as data: one series, or all rows by key."""
+    rows = [r.asDict(recursive=True) for r in df.limit(2 if key is None else MOST_ROWS + 1).collect()]
     if key is not None:
+        if len(rows) > MOST_ROWS:
+            raise TaskFailure("schema", f"a document holds at most {MOST_ROWS} rows")
         return {"rows": rows}
     if len(rows) != 1:
         raise TaskFailure("schema", f"expected one series, found {len(rows)}")

@@ -7,12 +7,12 @@ from lodestream.functions.scalars import canonical
 from lodestream.plans import expr
 from lodestream.plans import workflow as wf
 
-CONTEXT = {"check": {"report": {"equilibrated": True}}, "n": 5, "name": "npt", "zero": 0, "empty": "", "nothing": None}
+CONTEXT = {"gate": {"melt": {"steady": True, "drift": 0.004}}, "cycles": 7, "stage": "anneal", "none_left": 0, "note": "", "parent": None}
 TRUE = [
-    "${check.report.equilibrated}", "${n} == 5", "${n} > 4.5 and ${name} == npt", "not ${zero}", "not ${empty} and not ${nothing}",
-    "${name} == 'npt' or ${missing}", "(${n} < 3 or ${n} >= 5) and true", "not ${n} == false", "${n} != 'x'", "${nothing} == null",
+    "${gate.melt.steady}", "${cycles} == 7", "${gate.melt.drift} < 0.01 and ${stage} == anneal", "not ${none_left}", "not ${note} and not ${parent}",
+    "${stage} == 'anneal' or ${absent}", "(${cycles} < 2 or ${cycles} >= 7) and true", "not ${cycles} == false", "${cycles} != 'x'", "${parent} == null",
 ]
-FALSE = ["${zero}", "${n} == 'npt'", "not ${name}", "false or ${empty}", "${n} < 5", "${name} and ${zero}", "true == 1"]
+FALSE = ["${none_left}", "${cycles} == 'anneal'", "not ${stage}", "false or ${note}", "${cycles} < 7", "${stage} and ${none_left}", "true == 1"]
 
 
 @pytest.mark.parametrize("text", TRUE)
@@ -25,7 +25,7 @@ def test_conditions_that_do_not(text):
     assert not expr.holds(text, expr.from_mapping(CONTEXT))
 
 
-@pytest.mark.parametrize("text", ["", "${missing}", "${n} < 'a'", "1 2", "${n} = 5", "(true", "true and", "1.2.3 == 1", "a ! b"])
+@pytest.mark.parametrize("text", ["", "${absent}", "${cycles} < 'a'", "1 2", "${cycles} = 7", "(true", "true and", "1.2.3 == 1", "a ! b"])
 def test_conditions_that_are_errors(text):
     with pytest.raises(expr.ExprError):
         expr.holds(text, expr.from_mapping(CONTEXT))
@@ -50,23 +50,28 @@ def test_columns_agree_with_the_driver(spark):
         expr.to_column("${missing}", schema)
 
 
-def test_types():
-    for have, want in [("EquilibratedState", "SimulationState"), ("EquilibratedState", "State"), ("TemperatureSeries", "Dataset"), ("RgResult", "Artifact"), ("X", "X")]:
-        assert types.is_subtype(have, want)
-    for have, want in [("State", "EquilibratedState"), ("Trajectory", "Result"), ("X", "Artifact")]:
-        assert not types.is_subtype(have, want)
-    assert len(types.all_types()) == 29 and types.all_types()[0] == "Artifact"
-    assert types.family_of("ProductionTrajectory") == "Dataset" and types.family_of("Artifact") == "Root"
-
-
-def test_units():
-    assert units.parse("temperature", "300 K") == {"value": 300.0, "unit": "K"}
-    assert units.parse("time", "5 ns") == {"value": 5e6, "unit": "fs"}
-    assert units.parse("pressure", "1000 atm")["value"] == pytest.approx(1013.25)
-    assert units.parse("density", {"value": 850, "unit": "kg/m3"})["value"] == pytest.approx(0.85)
-    for bad in (300, "300", "1 furlong", "1e3 fs", {"value": "x", "unit": "K"}, None):
+def test_subtyping_is_the_closure_of_the_tree(spark):
+    up = {(r.have, r.want): r.depth for r in types.closure(spark).collect()}
+    names = types.all_types()
+    assert len(set(names)) == len(names) and names[0] == types.ROOT
+    for have in names:
+        for want in names:
+            assert types.is_subtype(have, want) == (have == want or (have, want) in up)
+        family = types.family_of(have)
+        assert family == "Root" if have == types.ROOT else (family, types.ROOT) in up and up[family, types.ROOT] == 1
+    assert types.is_subtype("unheard of", "unheard of") and not types.is_subtype("unheard of", types.ROOT)
+
+
+@pytest.mark.parametrize("dimension", sorted(units.UNITS))
+def test_every_unit_in_both_forms(dimension):
+    for n, (unit, factor) in enumerate(units.UNITS[dimension].items()):
+        value = 2.5 + n
+        want = {"value": pytest.approx(value * factor), "unit": units.canonical_unit(dimension)}
+        assert units.parse(dimension, f"{value} {unit}") == want == units.parse(dimension, {"value": value, "unit": unit})
+        assert units.parse(dimension, f"  {value}{unit} ") == want
+    for bad in (7, "7", "7 parsec", "2e6 " + units.canonical_unit(dimension), {"value": True, "unit": unit}, {"value": 7}, None):
         with pytest.raises(units.SchemaError):
-            units.parse("time", bad)
+            units.parse(dimension, bad)
 
 
 def test_canonical_json():
