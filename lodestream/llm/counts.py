@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import delete, partitions, scratch, tidy
+from .common import delete, materialize, scratch, tidy
 from .tokens import Encoder, default_tokenizer
 
 KEYS = ["source", "lang", "version"]
@@ -129,6 +129,8 @@ def rollup_of(docs: DataFrame) -> DataFrame:
     revise = rows.where(F.contains("text", F.lit("|"))).select("doc_id", "source", "lang", F.lit("words-1").alias("version"), word_count(F.translate("text", "|", " ")).alias("n_tokens"), F.lit("revise").alias("op"))
     ids = rows.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
     first = ids.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    # written, so that the join is one of two plain exchanges, whose hot keys adaptive execution splits
+    first = materialize(first.select("digest", "first"))
     copies = ids.join(first, "digest").where("doc_id > first").select("doc_id")
     drop = copies.select("doc_id", F.explode(F.array(F.lit("words-1"), F.lit("bytes4-1"))).alias("version")).select("doc_id", "version", F.lit("delete").alias("op"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("long").alias("n_tokens"))
     held = Rollup(spark)

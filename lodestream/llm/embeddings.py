@@ -66,8 +66,10 @@ def links(classes: DataFrame, threshold: float = THRESHOLD, bits: int = BITS, ta
                 unit = x / np.abs(x).max(axis=1, keepdims=True)
                 sig = signatures(unit / np.linalg.norm(unit, axis=1, keepdims=True), bits, tables, seed)
                 take = pa.array(rows)
-                blob = pa.array([r.tobytes() for r in x], pa.binary())
-                sigs = pa.array([r.tobytes() for r in sig.astype(np.int64)], pa.binary())
+                # four bytes a component where that loses nothing, and a signature
+                slim = x.astype(np.float32)
+                blob = pa.array([r.tobytes() for r in (slim if (slim == x).all() else x)], pa.binary())
+                sigs = pa.array([r.tobytes() for r in sig.astype(np.int32)], pa.binary())
                 for t in range(tables):
                     yield pa.RecordBatch.from_arrays(
                         [reps.take(take), labels.take(take), n.take(take), pa.array(np.full(len(rows), t, np.int32)), pa.array(np.full(len(rows), dim, np.int32)), pa.array(sig[:, t]), blob, sigs],
@@ -95,18 +97,19 @@ def one_cell(cell: pa.Table, a: list, b: list, n: list, threshold: float) -> Non
     rep, count, side = (cell.column(c).to_numpy() for c in ("rep", "n", "side"))
     t = cell.column("t")[0].as_py()
     grid = cell.column("ci")[0].as_py() != cell.column("cj")[0].as_py()
-    raw = cell.column("x").to_pylist()
-    if len({len(r) for r in raw}) > 1 or len(cell.column("label").unique()) > 1 or len(cell.column("t").unique()) > 1:
+    dims = cell.column("dim").to_pylist()
+    raw = [np.frombuffer(r, np.float32 if len(r) == 4 * d else np.float64) for r, d in zip(cell.column("x").to_pylist(), dims)]
+    if len(set(dims)) > 1 or len(cell.column("label").unique()) > 1 or len(cell.column("t").unique()) > 1:
         # a collision of the 64-bit key: take each (label, table, dimension) on its own
         parts = {}
-        for i, k in enumerate(zip(cell.column("label").to_pylist(), cell.column("t").to_pylist(), map(len, raw))):
+        for i, k in enumerate(zip(cell.column("label").to_pylist(), cell.column("t").to_pylist(), dims)):
             parts.setdefault(k, []).append(i)
         for rows in parts.values():
             if len(rows) > 1:
                 one_cell(cell.take(pa.array(rows)), a, b, n, threshold)
         return
-    x = np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1)
-    sig = np.frombuffer(b"".join(cell.column("sigs").to_pylist()), np.int64).reshape(len(raw), -1)
+    x = np.stack(raw).astype(np.float64)
+    sig = np.frombuffer(b"".join(cell.column("sigs").to_pylist()), np.int32).reshape(len(raw), -1)
     x = x / np.abs(x).max(axis=1, keepdims=True)
     norm = np.linalg.norm(x, axis=1)
     m = len(x)

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_class, drop, materialize, partitions
+from .common import crc_class, drop, materialize, partitions, tidy
 
 BEGIN, FINISH = 1, 2
 DISCOUNTED = 5
@@ -142,7 +142,7 @@ def encoded(docs: DataFrame, order: int, size: int) -> DataFrame:
         if held[0]:
             yield row(number, held, task)
 
-    return docs.mapInArrow(run, PARTS)
+    return docs.mapInArrow(tidy(run), PARTS)
 
 
 class Part:
@@ -402,7 +402,7 @@ def learn(docs: DataFrame, train, order: int = ORDER, part: int = PART, share: i
             for i in range(b.num_rows):
                 yield from ask_counts(pa.Table.from_batches([b.slice(i, 1)]), n, order).to_batches()
 
-    told = [materialize(parts.mapInArrow(each_part, ASK).groupBy("q").applyInArrow(lambda t: tell_counts(t, order), TOLD), "what", "k", **DELTA)]
+    told = [materialize(parts.mapInArrow(tidy(each_part), ASK).groupBy("q").applyInArrow(lambda t: tell_counts(t, order), TOLD), "what", "k", **DELTA)]
     held = sum((unpacked(r.x, np.int64) for r in told[0].where("what = 'sums'").select("x").collect()), np.zeros((order + 1) * (DISCOUNTED + 1), np.int64)).reshape(order + 1, -1)
     # every training document ends once: the end token's count is their number
     sums = Sums(*map(int, held[0, :3]), {k: discounts(held[k].tolist()) for k in range(2, order + 1)})

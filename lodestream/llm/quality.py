@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_class, drop, materialize
+from .common import crc_class, drop, materialize, tidy
 
 #: Positives fitted to, at most; and at least.
 SAMPLE, FEW = 12_000, 8
@@ -209,7 +209,7 @@ def features(rows: DataFrame, *keep: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(x, pa.list_(pa.float64()))], [*keep, "x"])
 
     chosen = rows.select(*keep, F.col("text").cast("string"))
-    return chosen.mapInArrow(run, ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in chosen.schema if f.name in keep] + ["x array<double>"]))
+    return chosen.mapInArrow(tidy(run), ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in chosen.schema if f.name in keep] + ["x array<double>"]))
 
 
 def sampled(ids: DataFrame, sample: int) -> DataFrame:
@@ -240,7 +240,7 @@ def moments_of(feats: DataFrame, model: Model) -> tuple[Moments, int]:
         v = np.concatenate(([n], first, second[np.triu_indices(TERMS)]))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(v), dtype=np.int32)), pa.array(v)], ["i", "v"])
 
-    t = feats.select("x").mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow().sort_by("i")
+    t = feats.select("x").mapInArrow(tidy(run), "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow().sort_by("i")
     v = t.column("v").to_numpy()
     second = np.zeros((TERMS, TERMS))
     second[np.triu_indices(TERMS)] = v[1 + TERMS :]
@@ -260,7 +260,7 @@ def counts_of(feats: DataFrame, model: Model, weights: list[np.ndarray], edges:
                     n[k] += np.bincount(np.searchsorted(edges, z @ w, side="right"), minlength=len(edges) + 1)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(n.size, dtype=np.int32)), pa.array(n.ravel())], ["i", "n"])
 
-    t = feats.select("x").mapInArrow(run, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow().sort_by("i")
+    t = feats.select("x").mapInArrow(tidy(run), "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow().sort_by("i")
     return t.column("n").to_numpy().reshape(len(weights), -1)
 
 
@@ -307,7 +307,7 @@ def score(feats: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
                 part = b.slice(s, 2000)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(model.score(matrix(part.column("x"))))], ["doc_id", "score"])
 
-    return feats.select("doc_id", "x").mapInArrow(run, "doc_id long, score double").withColumn("predicted", (F.col("score") >= cut).cast("int"))
+    return feats.select("doc_id", "x").mapInArrow(tidy(run), "doc_id long, score double").withColumn("predicted", (F.col("score") >= cut).cast("int"))
 
 
 def features_of(docs: DataFrame) -> DataFrame:
@@ -331,7 +331,7 @@ def accepted(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
                 p = model.score(np.array([shape(t) for t in part.column("text").to_pylist()]))
                 yield part.filter(pa.array(p >= cut))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2) -> DataFrame:

@@ -79,7 +79,8 @@ def shard(docs: DataFrame, shards: int = 24, block: int = BLOCK) -> DataFrame:
     share = F.greatest(*[F.col(c) / F.lit(m) for c, m in zip(dims, mean)])
     n_pieces = F.greatest(F.ceil(share * PIECE), F.ceil(F.col("rows") / PIECE_ROWS)).cast("int")
     cut = groups.select("g", n_pieces.alias("n_pieces")).where("n_pieces > 1")
-    dealt = rows.join(cut, "g", "left").withColumn("piece", F.when(F.col("n_pieces") > 1, F.pmod(F.xxhash64("doc_id"), F.col("n_pieces").cast("long"))).otherwise(0).cast("int")).drop("n_pieces")
+    # at most 3 * shards * PIECE groups are that large, and one for every PIECE_ROWS rows
+    dealt = rows.join(F.broadcast(cut), "g", "left").withColumn("piece", F.when(F.col("n_pieces") > 1, F.pmod(F.xxhash64("doc_id"), F.col("n_pieces").cast("long"))).otherwise(0).cast("int")).drop("n_pieces")
     pieces = dealt.groupBy("g", "piece").agg(F.sum("size").alias("bytes"), F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("rows"))
     pieces = materialize(pieces)
     big = share > 1 / LARGE

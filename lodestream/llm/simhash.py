@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .buckets import cells, whole_cells
-from .common import materialize
+from .common import materialize, tidy
 from .components import components
 
 DISTANCE = 4
@@ -111,7 +111,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
             fp = fingerprint_batch(b.column("text").to_pylist(), shingle)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), "doc_id long, fp long")
 
 
 def linked(x: np.ndarray, y: np.ndarray, start: np.ndarray, masks: np.ndarray, distance: int) -> np.ndarray:
@@ -182,7 +182,7 @@ def links(classes: DataFrame, distance: int = DISTANCE, block: int = 4096) -> Da
             a, b = forest(t, masks, distance)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return cells(rows, "rep", block).select("key", "ci", "cj", "rep", "fp", "start").mapInArrow(run, "a long, b long")
+    return cells(rows, "rep", block).select("key", "ci", "cj", "rep", "fp", "start").mapInArrow(tidy(run), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = DISTANCE) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import drop, materialize, scratch
 
 END = "\r\n\r\n"
 REVISIT_FROM = 100
@@ -87,14 +87,14 @@ def one_line(s) -> str:
     return "".join(c if c >= " " else "%%%02X" % ord(c) for c in s or "")
 
 
-def page_records(page_id, url, html: str, digest: str, refers_to, row: str, segment: int) -> list[str]:
+def page_records(page_id, url, html: str, digest: str, refers_to, row: str, segment: int, refers_url=None) -> list[str]:
     """The records of one page, without the line breaks that close each."""
     origin = record_id(page_id, row)
     own = [("WARC-Target-URI", one_line(url)), ("WARC-Payload-Digest", f"sha256:{digest}")]
     own += [("X-Page-Id", str(page_id))] if page_id is not None else []
     head = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
     if refers_to is not None:
-        fields = [("WARC-Record-ID", origin), *own, ("WARC-Profile", "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"), ("X-Refers-To-Page", str(refers_to)), ("Content-Type", "application/http; msgtype=response")]
+        fields = [("WARC-Record-ID", origin), *own, ("WARC-Profile", "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"), ("WARC-Refers-To-Target-URI", one_line(refers_url)), ("WARC-Refers-To-Date", STAMP), ("X-Refers-To-Page", str(refers_to)), ("Content-Type", "application/http; msgtype=response")]
         return [record("revisit", fields, head)]
     block = head + chunked(html)
     parts = cut(block, segment) if size(block) > segment else [block]
@@ -110,8 +110,10 @@ def write(pages: DataFrame, path: str, revisit_from: int = REVISIT_FROM, segment
     """pages (page_id, url, html) -> WARC files under path."""
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), html.alias("html"), F.sha2(html.cast("binary"), 256).alias("digest"))
-    long = rows.where(F.octet_length("html") >= revisit_from).select("page_id", "digest")
-    shared = long.groupBy("digest").agg(F.min("page_id").alias("target"), F.count(F.lit(1)).alias("copies")).where("copies > 1 and target is not null").select("digest", "target")
+    long = rows.where(F.octet_length("html") >= revisit_from).select("page_id", "url", "digest")
+    shared = long.groupBy("digest").agg(F.min("page_id").alias("target"), F.min_by("url", "page_id").alias("target_url"), F.count(F.lit(1)).alias("copies"))
+    # written, so that the join is one of two plain exchanges, whose hot keys adaptive execution splits
+    shared = materialize(shared.where("copies > 1 and target is not null").select("digest", "target", "target_url"))
 
     def run(batches):
         from pyspark import TaskContext
@@ -120,15 +122,16 @@ def write(pages: DataFrame, path: str, revisit_from: int = REVISIT_FROM, segment
         row = 0
         for b in batches:
             out = []
-            for page_id, url, text, digest, target in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "target"))):
+            for page_id, url, text, digest, target, target_url in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "target", "target_url"))):
                 refers = target if target is not None and page_id != target else None
-                out += page_records(page_id, url, text, digest, refers, f"{task}-{row}", segment)
+                out += page_records(page_id, url, text, digest, refers, f"{task}-{row}", segment, target_url)
                 row += 1
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
 
-    all_rows = rows.join(shared, "digest", "left").select("page_id", "url", "html", "digest", "target")
+    all_rows = rows.join(shared, "digest", "left").select("page_id", "url", "html", "digest", "target", "target_url")
     # Spark closes each record with the two line breaks
     all_rows.mapInArrow(run, "value string").write.option("lineSep", END).option("maxRecordsPerFile", per_file).option("compression", "gzip").text(path)
+    drop(shared)
 
 
 def parse(raw: bytes):
@@ -227,7 +230,8 @@ def round_trip(pages: DataFrame, path: str | None = None) -> DataFrame:
     spark = pages.sparkSession
     path = path or scratch(spark)
     write(pages, path)
-    back = read(spark, path).select("page_id", F.octet_length("payload").cast("long").alias("n"), "digest", "refers_to")
+    # the archives are read once; what is kept of a record is a few numbers
+    back = materialize(read(spark, path).select("page_id", F.octet_length("payload").cast("long").alias("n"), "digest", "refers_to"))
     own = back.where("refers_to is null").select("page_id", F.col("n").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.lit("response").alias("record_type"), "refers_to")
     target = own.select(F.col("page_id").alias("refers_to"), "payload_bytes", "payload_digest").where(F.col("payload_bytes") >= REVISIT_FROM).distinct()
     again = back.where("refers_to is not null").select("page_id", "refers_to", F.col("digest").alias("payload_digest")).join(target, ["refers_to", "payload_digest"], "left")
