@@ -8,9 +8,12 @@ the document, which is verified without gaps: some window of `window` aligned
 words (the whole item if it is shorter) must agree in at least `similarity` of
 its words.
 
-With 5 care positions per mask: contiguous, so any five words in a row count,
-and three spaced ones, which find passages whose every fourth or fifth word was
-changed.
+Four masks with 5 care positions: contiguous, so any five words in a row count,
+and three spaced ones. With two of 13 (or 12) words substituted, wherever they
+are, some seed stays whole. Items of under SHORT words get two lighter masks
+besides, of 3 and 4 care positions, which find every pattern of substitutions
+that is allowed for their length; documents get those seeds only if there is
+such an item.
 
 The scan, the seeds and the lookup are one generated stage: words are split
 once per document, positions and masks are expanded inside it, and only hits
@@ -20,7 +23,8 @@ once. The benchmark side is broadcast only while it has at most
 are shuffled to it and nothing is gathered by seed.
 
 Words are lower-cased runs of letters and digits. Defined results: null or
-empty texts match nothing; items of fewer than five words are never matched;
+empty texts match nothing; items of fewer than three words are never matched;
+windows of an item with equal numbers of matching words are one result;
 repeated rows of the benchmark or of a document give one result row per
 (doc_id, item_id); null ids are kept as ids; empty tables give no rows; extra
 columns are ignored.
@@ -33,6 +37,8 @@ from pyspark.sql import functions as F
 
 #: Fixed masks: 1 cares, 0 ignores.
 MASKS = ("11111", "1101011", "11100101", "101101001")
+SHORT_MASKS = ("111", "11011")
+SHORT = 12
 WINDOW = 13
 SIMILARITY = 0.8
 BROADCAST_TOKENS = 200_000
@@ -50,10 +56,11 @@ def seed_at(w: Column, i: Column, n: int, mask: str) -> Column:
     return F.when(i + len(mask) <= F.size(w), F.xxhash64(F.lit(n), *[F.get(w, i + k) for k in care]))
 
 
-def seeds(rows: DataFrame, *keep: str) -> DataFrame:
+def seeds(rows: DataFrame, *keep: str, masks: tuple = MASKS) -> DataFrame:
     """rows (w, keep...) -> (keep..., w, i, seed) for each position and mask."""
-    at = rows.where(F.size("w") >= len(MASKS[0])).select(*keep, "w", F.explode(F.sequence(F.lit(0), F.size("w") - len(MASKS[0]))).alias("i"))
-    hashed = F.array(*[seed_at(F.col("w"), F.col("i"), n, m) for n, m in enumerate(MASKS)])
+    least = min(map(len, masks))
+    at = rows.where(F.size("w") >= least).select(*keep, "w", F.explode(F.sequence(F.lit(0), F.size("w") - least)).alias("i"))
+    hashed = F.array(*[seed_at(F.col("w"), F.col("i"), (MASKS + SHORT_MASKS).index(m), m) for m in masks])
     return at.select(*keep, "w", "i", F.explode(hashed).alias("seed")).where("seed is not null")
 
 
@@ -62,20 +69,25 @@ def overlaps(
 ) -> DataFrame:
     """(doc_id, item_id, matched, compared): the best window of each verified overlap."""
     items = benchmark.select(F.col("item_id"), words(F.col("text")).alias("item")).withColumn("k", F.xxhash64("item_id", "item"))
-    size = items.agg(F.coalesce(F.sum(F.size("item")), F.lit(0)), F.coalesce(F.sum(F.octet_length(F.concat_ws(" ", "item"))), F.lit(0))).first()
+    size = items.agg(F.coalesce(F.sum(F.size("item")), F.lit(0)), F.coalesce(F.sum(F.octet_length(F.concat_ws(" ", "item"))), F.lit(0)), F.count_if(F.size("item").between(3, SHORT - 1))).first()
     small = size[0] <= broadcast_tokens and size[1] <= broadcast_bytes
     # seeds name their item by a key; its words are held once
     known = items.dropDuplicates(["k"])
-    held = seeds(known.select("k", F.col("item").alias("w"), F.size("item").alias("n")), "k", "n").select("seed", "k", "n", F.col("i").alias("q"))
+    of = known.select("k", F.col("item").alias("w"), F.size("item").alias("n"))
+    held, masks = seeds(of, "k", "n"), MASKS
+    if size[2]:
+        masks = MASKS + SHORT_MASKS
+        held = held.union(seeds(of.where(F.col("n") < SHORT), "k", "n", masks=SHORT_MASKS))
+    held = held.select("seed", "k", "n", F.col("i").alias("q"))
     texts = docs.select("doc_id", words(F.col("text")).alias("w"))
     if small:
         lists = held.groupBy("seed").agg(F.collect_list(F.struct("k", "n", "q")).alias("hits"))
-        met = seeds(texts, "doc_id").join(F.broadcast(lists), "seed").select("doc_id", "w", "i", F.explode("hits").alias("h"))
+        met = seeds(texts, "doc_id", masks=masks).join(F.broadcast(lists), "seed").select("doc_id", "w", "i", F.explode("hits").alias("h"))
         met = met.select("doc_id", "w", (F.col("i") - F.col("h.q")).alias("start"), "h.k", "h.n")
     else:
         # the words stay behind: positions are shuffled to the seeds, and distinct alignments back to the texts
         texts = texts.withColumn("row", F.xxhash64("doc_id", "w"))
-        found = seeds(texts, "row").select("row", "i", "seed").join(held, "seed").select("row", "k", "n", (F.col("i") - F.col("q")).alias("start")).distinct()
+        found = seeds(texts, "row", masks=masks).select("row", "i", "seed").join(held, "seed").select("row", "k", "n", (F.col("i") - F.col("q")).alias("start")).distinct()
         met = found.join(texts.dropDuplicates(["row"]), "row")
     # the hits of one alignment are combined where they are found, and verified once
     lead, at, span = F.greatest(-F.col("start"), F.lit(0)), F.greatest(F.col("start"), F.lit(0)), F.least(F.lit(window), F.col("n"))
@@ -102,9 +114,9 @@ def remove(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 ORACLE = r"""
 WITH b AS (SELECT item_id, list_filter(string_split(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), lambda x: x <> '') w FROM benchmark WHERE text IS NOT NULL),
 d AS (SELECT doc_id, list_filter(string_split(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), lambda x: x <> '') w FROM documents WHERE text IS NOT NULL),
-m AS (SELECT unnest(MASKS) AS mask),
-bs AS (SELECT item_id, q, mask || ':' || CARE_B AS seed FROM (SELECT item_id, w, unnest(range(0, len(w) - 4)) q FROM b), m WHERE q + len(mask) <= len(w)),
-ds AS (SELECT doc_id, i, mask || ':' || CARE_D AS seed FROM (SELECT doc_id, w, unnest(range(0, len(w) - 4)) i FROM d), m WHERE i + len(mask) <= len(w)),
+m AS (SELECT unnest(MASKS) AS mask, false AS light UNION ALL SELECT unnest(LIGHT), true),
+bs AS (SELECT item_id, q, mask || ':' || CARE_B AS seed FROM (SELECT item_id, w, unnest(range(0, len(w) - 2)) q FROM b), m WHERE q + len(mask) <= len(w) AND (NOT light OR len(w) < SHORT)),
+ds AS (SELECT doc_id, i, mask || ':' || CARE_D AS seed FROM (SELECT doc_id, w, unnest(range(0, len(w) - 2)) i FROM d), m WHERE i + len(mask) <= len(w) AND (NOT light OR EXISTS (SELECT 1 FROM b WHERE len(w) < SHORT))),
 hit AS (SELECT DISTINCT doc_id, item_id, i - q AS o FROM ds JOIN bs USING (seed)),
 al AS (SELECT hit.doc_id, hit.item_id, len(b.w) n, list_transform(range(greatest(0, -o), least(len(b.w), len(d.w) - o)), lambda k: CASE WHEN b.w[k + 1] = d.w[k + o + 1] THEN 1 ELSE 0 END) same
        FROM hit JOIN b USING (item_id) JOIN d USING (doc_id)),
@@ -114,9 +126,9 @@ SELECT doc_id, item_id, cast(max(matched) AS INTEGER) AS matched, cast(max(compa
 
 
 def oracle() -> str:
-    longest = max(map(len, MASKS))
+    longest = max(map(len, MASKS + SHORT_MASKS))
 
     def care(i: str) -> str:
         return "concat_ws(' ', " + ", ".join(f"CASE WHEN substr(mask, {k + 1}, 1) = '1' THEN w[{i} + {k + 1}] END" for k in range(longest)) + ")"
 
-    return ORACLE.replace("MASKS", repr(list(MASKS))).replace("CARE_B", care("q")).replace("CARE_D", care("i")).replace("WINDOW", str(WINDOW)).replace("0.8", str(SIMILARITY))
+    return ORACLE.replace("MASKS", repr(list(MASKS))).replace("LIGHT", repr(list(SHORT_MASKS))).replace("SHORT", str(SHORT)).replace("CARE_B", care("q")).replace("CARE_D", care("i")).replace("WINDOW", str(WINDOW)).replace("0.8", str(SIMILARITY))

@@ -89,3 +89,40 @@ def test_no_python_in_the_plan(spark):
 def test_query_against_sql(spark):
     read = lambda n: spark.read.parquet(f"{SF}/{n}.parquet")
     oracle.same(dec.overlaps(read("documents"), read("benchmark")), oracle.connect(SF), dec.oracle())
+
+
+def test_recall_over_every_allowed_substitution(spark):
+    """Each item length with every pattern of as many substitutions as its similarity allows, against all alignments: no seeds, no hashes."""
+    import itertools
+    import math
+
+    items, docs, want = [], [], set()
+    for n in range(2, 15):
+        own = [f"item{n}word{k}" for k in range(n)]
+        items.append((n, " ".join(own)))
+        for some in itertools.combinations(range(n), min(n, dec.WINDOW) - math.ceil(min(n, dec.WINDOW) * dec.SIMILARITY)):
+            docs.append((len(docs), "before it " + " ".join("q" if k in some else w for k, w in enumerate(own)) + " and after"))
+            if n > 2:
+                want.add((docs[-1][0], n))
+    for bound in (0, 10**6):
+        got = {(r.doc_id, r.item_id) for r in dec.overlaps(*frames(spark, docs, items), broadcast_tokens=bound).collect()}
+        assert not got - want
+        assert len(got) == len(want), sorted(want - got)[:9]
+
+
+def test_null_ids_are_ids(spark):
+    docs, items = frames(spark, [(None, ITEM), (1, ITEM)], [(None, ITEM)])
+    assert sorted(((r.doc_id is None, r.item_id) for r in dec.overlaps(docs, items).collect()), key=str) == [(False, None), (True, None)]
+    assert dec.remove(docs, items).count() == 0
+
+
+def test_short_items_against_sql(spark, tmp_path):
+    import duckdb
+
+    docs, items = frames(spark, DOCS + [(20, "one two other four five six"), (21, "so four words here now")], ITEMS + [(30, "four words here")])
+    con = duckdb.connect()
+    for name, df in (("documents", docs.dropDuplicates(["doc_id"])), ("benchmark", items)):
+        con.register(name, df.toArrow())
+    want = sorted(map(tuple, con.execute(dec.oracle()).fetchall()))
+    assert sorted(map(tuple, dec.overlaps(docs, items).select("doc_id", "item_id", "matched", "compared").collect())) == want
+    assert {d for d, i, *_ in want if i == 30} == {21} and {d for d, i, *_ in want if i == 11} == {9, 20}
