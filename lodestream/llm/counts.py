@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import delete, materialize, scratch, tidy
+from .common import delete, drop, materialize, scratch, tidy
 from .tokens import Encoder, default_tokenizer
 
 KEYS = ["source", "lang", "version"]
@@ -113,39 +113,50 @@ class Rollup:
         return self._read("totals").groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs <> 0 or n_tokens <> 0")
 
 
-def rollup_of(docs: DataFrame) -> DataFrame:
+#: Versions of the query: words, and subwords of the default tokenizer.
+WORDS, SUBWORDS = "words-1", "word_bpe_49k-1"
+
+
+def rollup_of(docs: DataFrame, tokenizer: str | None = None, subwords: bool = True) -> DataFrame:
     """The totals after loading every document under two versions, and two later batches.
 
-    load: every document, as words (words-1) and as quarters of its bytes
-    (bytes4-1). revise: words-1 of the documents that hold '|' are counted again
-    with '|' as a separator. drop: exact copies of a smaller doc_id are deleted
-    under both versions. Each batch is committed twice; the second has no effect.
+    load: every document, in words and (unless left out) in subwords. revise:
+    documents that hold '|' are counted again with '|' as a separator. drop:
+    exact copies of a smaller doc_id are deleted under both versions. Each batch
+    is committed twice; the second has no effect.
     """
     spark = docs.sparkSession
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select("doc_id", "source", "lang", text.alias("text"))
-    load = rows.select("doc_id", "source", "lang", F.explode(F.array(F.struct(F.lit("words-1").alias("version"), word_count(F.col("text")).alias("n_tokens")), F.struct(F.lit("bytes4-1").alias("version"), F.expr("cast((octet_length(text) + 3) div 4 as bigint)").alias("n_tokens")))).alias("x"))
-    load = load.select("doc_id", "source", "lang", "x.version", "x.n_tokens", F.lit("insert").alias("op"))
-    revise = rows.where(F.contains("text", F.lit("|"))).select("doc_id", "source", "lang", F.lit("words-1").alias("version"), word_count(F.translate("text", "|", " ")).alias("n_tokens"), F.lit("revise").alias("op"))
+    rows = docs.select("doc_id", "source", "lang", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+    def counted(some: DataFrame, op: str) -> DataFrame:
+        keys = ["doc_id", "source", "lang"]
+        out = some.select(*keys, F.lit(WORDS).alias("version"), word_count(F.col("text")).alias("n_tokens"))
+        if subwords:
+            out = out.union(subword_counts(some, tokenizer).select(*keys, F.lit(SUBWORDS), "n_tokens"))
+        return out.withColumn("op", F.lit(op))
+
+    load = counted(rows, "insert")
+    revise = counted(rows.where(F.contains("text", F.lit("|"))).withColumn("text", F.translate("text", "|", " ")), "revise")
     ids = rows.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
     first = ids.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     # written, so that the join is one of two plain exchanges, whose hot keys adaptive execution splits
     first = materialize(first.select("digest", "first"))
     copies = ids.join(first, "digest").where("doc_id > first").select("doc_id")
-    drop = copies.select("doc_id", F.explode(F.array(F.lit("words-1"), F.lit("bytes4-1"))).alias("version")).select("doc_id", "version", F.lit("delete").alias("op"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("long").alias("n_tokens"))
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("source", "string"), ("lang", "string"), ("n_tokens", "long"))]
+    gone = copies.select("doc_id", F.explode(F.array(*[F.lit(v) for v in ([WORDS, SUBWORDS] if subwords else [WORDS])])).alias("version"), F.lit("delete").alias("op"), *nothing)
     held = Rollup(spark)
-    for name, changes in (("0-load", load), ("1-revise", revise), ("2-drop", drop)):
+    for name, changes in (("0-load", load), ("1-revise", revise), ("2-drop", gone)):
         held.commit(name, changes)
         held.commit(name, changes)
+    drop(first)
     return held.totals()
 
 
+#: The word version alone.
 ORACLE = r"""
 WITH d AS (SELECT doc_id, source, lang, coalesce(text, '') t FROM documents),
      k AS (SELECT * FROM d WHERE doc_id = (SELECT min(doc_id) FROM d e WHERE e.t = d.t)),
      c AS (
-  SELECT source, lang, 'words-1' AS version, len(regexp_extract_all(replace(t, '|', ' '), '[^\x20\x09-\x0D]+')) AS n FROM k
-  UNION ALL
-  SELECT source, lang, 'bytes4-1', (strlen(t) + 3) // 4 FROM k)
+  SELECT source, lang, 'words-1' AS version, len(regexp_extract_all(replace(t, '|', ' '), '[^\x20\x09-\x0D]+')) AS n FROM k)
 SELECT source, lang, version, count(*) AS n_docs, cast(sum(n) AS BIGINT) AS n_tokens FROM c GROUP BY ALL
 """

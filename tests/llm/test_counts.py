@@ -1,3 +1,5 @@
+import re
+
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -54,8 +56,31 @@ def test_subword_counts(spark):
     assert got == {i: len(t.encode(x or "", add_special_tokens=False).ids) for i, x, _, _ in rows}
 
 
-def test_query_against_sql(spark):
-    oracle.same(counts.rollup_of(spark.read.parquet(f"{SF}/documents.parquet")), oracle.connect(SF), counts.ORACLE)
+def test_words_against_sql(spark):
+    oracle.same(counts.rollup_of(spark.read.parquet(f"{SF}/documents.parquet"), subwords=False), oracle.connect(SF), counts.ORACLE)
+
+
+def test_query_equals_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    t, first, want = Tokenizer.from_file(tokens.default_tokenizer()), {}, {}
+    rows = [(r.doc_id, r.text or "", r.source, r.lang) for r in docs.collect()]
+    for i, x, *_ in sorted(rows):
+        first.setdefault(x, i)
+    assert len(first) < len(rows)
+    for i, x, source, lang in rows:
+        if first[x] == i:
+            x = x.replace("|", " ")
+            for version, n in ((counts.WORDS, len(re.findall(r"[^\x20\x09-\x0D]+", x))), (counts.SUBWORDS, len(t.encode(x, add_special_tokens=False).ids))):
+                a, b = want.get((source, lang, version), (0, 0))
+                want[source, lang, version] = (a + 1, b + n)
+    assert {(r.source, r.lang, r.version): (r.n_docs, r.n_tokens) for r in counts.rollup_of(docs).collect()} == want
+
+
+def test_clashing_columns_and_long_texts(spark):
+    rows = [(1, "a|b " * 60_000, "s", "en", "v", 3, "x"), (2, None, None, None, "v", 3, "x"), (2, None, None, None, "v", 3, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, version string, n_tokens long, op string")
+    got = {(r.source, r.version): (r.n_docs, r.n_tokens) for r in counts.rollup_of(docs).collect()}
+    assert got["s", counts.WORDS] == (1, 120_000) and got[None, counts.WORDS] == (2, 0) and set(got) == {(s, v) for s in ("s", None) for v in (counts.WORDS, counts.SUBWORDS)}
 
 
 def test_word_count_of_odd_texts(spark):
