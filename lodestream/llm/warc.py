@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop, materialize, scratch
+from .common import scratch
 
 END = "\r\n\r\n"
 REVISIT_FROM = 100
@@ -112,8 +112,7 @@ def write(pages: DataFrame, path: str, revisit_from: int = REVISIT_FROM, segment
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), html.alias("html"), F.sha2(html.cast("binary"), 256).alias("digest"))
     long = rows.where(F.octet_length("html") >= revisit_from).select("page_id", "url", "digest")
     shared = long.groupBy("digest").agg(F.min("page_id").alias("target"), F.min_by("url", "page_id").alias("target_url"), F.count(F.lit(1)).alias("copies"))
-    # written, so that the join is one of two plain exchanges, whose hot keys adaptive execution splits
-    shared = materialize(shared.where("copies > 1 and target is not null").select("digest", "target", "target_url"))
+    shared = shared.where("copies > 1 and target is not null").select("digest", "target", "target_url")
 
     def run(batches):
         from pyspark import TaskContext
@@ -131,7 +130,6 @@ def write(pages: DataFrame, path: str, revisit_from: int = REVISIT_FROM, segment
     all_rows = rows.join(shared, "digest", "left").select("page_id", "url", "html", "digest", "target", "target_url")
     # Spark closes each record with the two line breaks
     all_rows.mapInArrow(run, "value string").write.option("lineSep", END).option("maxRecordsPerFile", per_file).option("compression", "gzip").text(path)
-    drop(shared)
 
 
 def parse(raw: bytes):
@@ -230,8 +228,7 @@ def round_trip(pages: DataFrame, path: str | None = None) -> DataFrame:
     spark = pages.sparkSession
     path = path or scratch(spark)
     write(pages, path)
-    # the archives are read once; what is kept of a record is a few numbers
-    back = materialize(read(spark, path).select("page_id", F.octet_length("payload").cast("long").alias("n"), "digest", "refers_to"))
+    back = read(spark, path).select("page_id", F.octet_length("payload").cast("long").alias("n"), "digest", "refers_to")
     own = back.where("refers_to is null").select("page_id", F.col("n").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.lit("response").alias("record_type"), "refers_to")
     target = own.select(F.col("page_id").alias("refers_to"), "payload_bytes", "payload_digest").where(F.col("payload_bytes") >= REVISIT_FROM).distinct()
     again = back.where("refers_to is not null").select("page_id", "refers_to", F.col("digest").alias("payload_digest")).join(target, ["refers_to", "payload_digest"], "left")
