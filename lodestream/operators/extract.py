@@ -141,7 +141,7 @@ def data_files(s, d):
 QUERIES = {
     "log_last_block": lambda s, d: last_block(logs(s, d)).select("file", F.col("n").cast("bigint").alias("n"), F.array_join("columns", ",").alias("columns"), F.get("values", F.lit(0)).alias("step"), F.get("values", F.lit(2)).alias("press")),
     "log_pairs": lambda s, d: pairs(src.read(s, d, "customer").select(F.col("c_custkey").alias("file"), F.concat(F.lit("# strain stress\n0.0"), F.col("c_nationkey").cast("string"), F.lit(" "), F.col("c_custkey").cast("string"), F.lit("\nbad line\n")).alias("text"))).select("file", F.col("n").cast("bigint").alias("n"), "strain", F.round("stress_GPa", 9).alias("stress_GPa")),
-    "log_tail": lambda s, d: log_tail(docs(s, d), 3).select("file", F.col("n").cast("bigint").alias("n"), "line"),
+    "log_tail": lambda s, d: log_tail(docs(s, d)).select("file", F.col("n").cast("bigint").alias("n"), "line"),
     "log_classify": lambda s, d: docs(s, d).select("file", classify(F.concat("text", F.when(F.col("file") % 3 == 0, "\nTotal wall time: 1").when(F.col("file") % 7 == 0, "\nERROR: Lost atoms").when(F.col("file") % 5 == 0, "\n1 nan 2").when(F.col("file") % 11 == 0, "\nEnergy too large").otherwise(""))).alias("failure")),
     "log_verdicts": lambda s, d: docs(s, d).select("file", *verdicts(F.concat("text", F.when(F.col("file") % 3 == 0, "\nTotal wall time: 1 nan").otherwise("")))),
     "section_density": lambda s, d: section_density(data_files(s, d)).select("file", F.round("volume", 6).alias("volume"), F.round("mass", 6).alias("mass"), F.round("density_g_cm3", 9).alias("density_g_cm3"), "n_atoms"),
@@ -154,7 +154,7 @@ ORACLES = {
         l AS (SELECT * FROM b WHERE i = m)
         SELECT file, (m - 1) * 6 + 1 AS n, 'Step,Temp,Press' AS columns, cast(k AS DOUBLE) AS step, cast(p AS DOUBLE) AS press FROM l UNION ALL SELECT file, (m - 1) * 6 + 3, 'Step,Temp,Press', cast(k + 1 AS DOUBLE), cast(q AS DOUBLE) FROM l""",
     "log_pairs": "SELECT c_custkey AS file, cast(1 AS BIGINT) AS n, cast('0.0' || c_nationkey AS DOUBLE) AS strain, round(c_custkey * 1.01325e-4, 9) AS stress_GPa FROM customer",
-    "log_tail": "WITH l AS (SELECT doc_id AS file, string_split(text, chr(10)) AS f FROM documents), g AS (SELECT file, unnest(range(greatest(0, len(f) - 3), len(f))) AS n, f FROM l) SELECT file, n, f[n + 1] AS line FROM g",
+    "log_tail": "WITH l AS (SELECT doc_id AS file, string_split(text, chr(10)) AS f FROM documents), g AS (SELECT file, unnest(range(greatest(0, len(f) - 40), len(f))) AS n, f FROM l) SELECT file, n, f[n + 1] AS line FROM g",
     "log_classify": r"""WITH t AS (SELECT doc_id AS file, text || CASE WHEN doc_id % 3 = 0 THEN chr(10) || 'Total wall time: 1' WHEN doc_id % 7 = 0 THEN chr(10) || 'ERROR: Lost atoms' WHEN doc_id % 5 = 0 THEN chr(10) || '1 nan 2' WHEN doc_id % 11 = 0 THEN chr(10) || 'Energy too large' ELSE '' END AS t FROM documents)
         SELECT file, CASE WHEN contains(t, 'Lost atoms') THEN 'lost_atoms' WHEN regexp_matches(t, '\b(nan|NaN)\b') AND NOT contains(t, 'Total wall time') THEN 'nan_detected' WHEN contains(t, 'Energy too large') THEN 'energy_blowup' WHEN NOT contains(t, 'Total wall time') THEN 'simulation_incomplete' END AS failure FROM t""",
     "log_verdicts": r"""WITH t AS (SELECT doc_id AS file, text || CASE WHEN doc_id % 3 = 0 THEN chr(10) || 'Total wall time: 1 nan' ELSE '' END AS t FROM documents) SELECT file, contains(t, 'Total wall time') AS completed, NOT regexp_matches(lower(t), '\bnan\b') AS no_nan, NOT contains(lower(t), 'lost atoms') AS no_lost_atoms FROM t""",
