@@ -17,14 +17,16 @@ def cells(rows: DataFrame, ident: str, block: int) -> DataFrame:
     cut into n blocks by the id's hash and its rows are sent to the cells
     (i, j), i <= j, of an n x n grid, so every two rows of a key meet in
     exactly one cell and no task holds more than about 2 x block of them. The
-    count per key is combined before its shuffle.
+    count per key is combined before its shuffle. Rows often come out of an
+    explode, which the optimizer takes for no larger than what it explodes: the
+    join is told to sort both sides, lest they be broadcast by the driver.
     """
     spark = rows.sparkSession
     counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1")
     nb = F.ceil(F.col("_rows") / F.lit(block)).cast("int")
     b = F.pmod(F.xxhash64(F.col(ident)), nb.cast("bigint")).cast("int")
     met = (
-        rows.join(counts, "key")
+        rows.join(counts.hint("merge"), "key")
         .withColumn("nb", nb)
         .withColumn("b", b)
         .withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
