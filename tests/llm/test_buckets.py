@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from lodestream.llm import buckets, simhash
+from lodestream.llm import buckets, jaccard, simhash
 from lodestream.llm.common import materialize
 
 
@@ -14,3 +14,12 @@ def test_exploded_rows_are_not_broadcast(spark):
     for plan in (simhash.links(classes), buckets.cells(keyed, "rep", 64)):
         text = plan._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in text and "Broadcast" not in text
+
+
+def test_prefixes_of_the_pipeline_are_not_broadcast(spark):
+    some = [(i, 100, i * 7919, [0] * 8, [i % 50 * 1000 + j for j in range(21)]) for i in range(500)]
+    kept = materialize(spark.createDataFrame(some, "k long, n long, fp long, map array<long>, prefix array<long>"))
+    rows = kept.select(F.posexplode("prefix").alias("p", "key"), "k", "n", "fp")
+    text = jaccard.met_somewhere(rows, 4096)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in text and "Broadcast" not in text
+    assert jaccard.met_somewhere(rows, 4096).count() == 500 * 12  # later places are too late for sets of 100
