@@ -1,13 +1,15 @@
 """Trajectory operators over long frames (frame, mol, bead, type, mass, x, y, z).
 
-A frame is a partition key: nothing needs more than one frame's beads, or one
-bead's frames, in a task.
+A frame is a partition key: nothing needs more than one frame's beads, or two
+blocks of one bead's frames, in a task.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -127,8 +129,80 @@ def all_lags(df: DataFrame, fraction: float = 0.5) -> int:
     return max(1, int(df.select("frame").distinct().count() * fraction))
 
 
+def block_sums(k: np.ndarray, at: np.ndarray, ok: np.ndarray, i: int, j: int, block: int):
+    """(lags, sums, pairs, counted) of one particle, from positions of block i to those of block j.
+
+    k: frame numbers; at: positions (3 x rows); ok: rows without a null. pairs
+    has all rows, counted those without a null, sums their squared distances.
+    Over a lag these are m2 * q1 + q2 * m1 - 2 * p1 * p2 of the rows, squares
+    and positions of each frame, so all lags are correlations, by FFT.
+    """
+    first, second = k // block == i, k // block == j
+    x = np.where(ok, at, 0.0)
+    finite = ok & np.isfinite(x).all(axis=0)
+    x = np.where(finite, x, 0.0)
+    x -= np.where(finite, x.sum(axis=1, keepdims=True) / max(1, finite.sum()), 0.0)  # the same for both blocks: distances stay, squares get small
+    slots = k % block
+    width = int(slots.max()) + 1
+    size, lags = 1 << (2 * width - 1).bit_length(), np.arange(1 if i == j else 1 - width, width)
+
+    def spectrum(rows, weight):
+        return np.fft.rfft(np.bincount(slots[rows], weight[rows], width), size)
+
+    def lagged(total):
+        return np.fft.irfft(total, size)[lags]
+
+    def both(a, b):
+        return np.conj(spectrum(first, a.astype(float))) * spectrum(second, b.astype(float))
+
+    def number(total):
+        return np.rint(lagged(total)).astype(np.int64)
+
+    square = (x**2).sum(axis=0)
+    sums = np.maximum(0.0, lagged(both(finite, square) + both(square, finite) - 2 * sum(both(c, c) for c in x)))
+    pairs, counted = number(both(np.ones(len(k)), np.ones(len(k)))), number(both(ok, ok))
+    sums[number(both(finite, finite)) == 0] = 0.0
+    if (ok & ~finite).any():
+        nan, inf = ok & np.isnan(at).any(axis=0), ok & np.isinf(at).any(axis=0)
+        sums[number(both(inf, ok) + both(ok, inf)) > 0] = np.inf
+        same = sum(both(ok & (c == v), ok & (c == v)) for c in at for v in (np.inf, -np.inf))
+        sums[number(both(nan, ok) + both(ok, nan) + same) > 0] = np.nan
+    return lags + (j - i) * block, sums, pairs, counted
+
+
+def lagged_displacement(df: DataFrame, max_lag: int, by_molecule: bool = False, frame_interval: float = 1.0, block: int = 1 << 19) -> DataFrame:
+    """What displacement() returns, for many lags: nothing is made for each pair of frames.
+
+    A particle's frames are cut into blocks; every two blocks within max_lag meet
+    in one group, which gives a sum for each lag between them.
+    """
+    p = centre_of_mass(df, "frame", "mol").withColumnRenamed("mol", "particle") if by_molecule else df.select("frame", F.col("bead").alias("particle"), *AXES)
+    ranks = p.select("frame").distinct().withColumn("k", (F.row_number().over(W.orderBy("frame")) - 1).cast("long"))
+    b, reach = F.floor(F.col("k") / block).cast("long"), (max_lag - 1) // block + 1
+    p = p.where("particle is not null").join(ranks, "frame").select("k", "particle", *[F.col(a).cast("double").alias(a) for a in AXES], b.alias("b"))
+    last = ranks.agg(F.floor(F.max("k") / block).cast("long").alias("last"))
+    p = p.crossJoin(F.broadcast(last))  # one row
+    meets = F.concat(
+        F.transform(F.sequence("b", F.least("last", F.col("b") + reach)), lambda j: F.struct(F.col("b").alias("i"), j.alias("j"))),
+        F.transform(F.filter(F.sequence(F.greatest(F.lit(0), F.col("b") - reach), "b"), lambda i: i < F.col("b")), lambda i: F.struct(i.alias("i"), F.col("b").alias("j"))),
+    )
+    p = p.withColumn("c", F.explode(meets)).select("particle", "c.i", "c.j", "k", *AXES)
+
+    def run(key, t):
+        at = [t.column(a) for a in AXES]
+        ok = np.logical_and.reduce([c.is_valid().to_numpy() for c in at])
+        at = np.stack([c.fill_null(0.0).to_numpy() for c in at])
+        found = block_sums(t.column("k").to_numpy(), at, ok, key[1].as_py(), key[2].as_py(), block)
+        use = (found[0] >= 1) & (found[0] <= max_lag) & (found[2] > 0)
+        return pa.table([pa.array(f[use]) for f in found], ["lag", "s", "pairs", "counted"])
+
+    sums = p.groupBy("particle", "i", "j").applyInArrow(run, "lag long, s double, pairs long, counted long")
+    msd = F.try_divide(F.sum("s"), F.sum("counted"))
+    return sums.groupBy(F.col("lag").cast("int").alias("lag")).agg(msd.alias("msd"), F.sum("pairs").alias("n")).withColumn("lag_time", F.col("lag") * frame_interval)
+
+
 def whole_displacement(df: DataFrame, by_molecule: bool = False) -> DataFrame:
-    return displacement(df, all_lags(df), by_molecule).select("lag", F.round("msd", 9).alias("msd"), "n")
+    return lagged_displacement(df, all_lags(df), by_molecule).select("lag", F.round("msd", 9).alias("msd"), "n")
 
 
 #: The lags that the SQL of msd and msd_by_molecule has; msd_all_lags and msd_all_lags_by_molecule have them all.
