@@ -9,8 +9,8 @@ similarity of 4/5 or more.
    of 4/5, so this finds most copies, cheaply, and not all.
 2. The rest exactly: under any one order of all shingles, linked sets share one
    of the first n - ceil(4n / 5) + 1 of each (the prefix principle), so every
-   link is met in a bucket of a prefix shingle. The order puts shingles that are
-   frequent in a part of the table last, which decides the size of the buckets
+   link is met in a bucket of a prefix shingle. The order puts the most frequent
+   shingles of the table last, which decides the size of the buckets
    and never the links. Rows of a bucket count as met if sets of their sizes can
    be similar with this as the first shingle they share, and their fingerprints are at most APART bits apart (sets of under
    SMALL shingles: any number; at a similarity of 4/5 more than APART differ
@@ -33,15 +33,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .buckets import cells, whole_cells
-from .common import drop, materialize, tidy
+from .common import drop, materialize, partitions, tidy
 from .components import components
 from .simhash import hashes, majority
 from .simhash import links as simhash_links
 
-#: A shingle is put last if so many texts of the part hold it; at most so many shingles are.
+#: A shingle is put last if so many texts hold it; the MOST most frequent ones are.
 FREQUENT, MOST = 3, 50_000
-#: Texts that the part has at least, and the share it has of larger tables: one in so many.
-PART_ROWS, PART = 4000, 16
+#: Shingles whose counts a task combines before they are dealt out.
+COMBINE = 1 << 20
 #: Leaders of a bucket in each round.
 LEADERS = (4, 12)
 #: Fingerprints of linked sets of SMALL shingles or more are at most so many bits apart.
@@ -81,18 +81,49 @@ def parities(held: np.ndarray) -> np.ndarray:
 
 
 def frequent(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes sorted, counts) of shingles that are frequent in a part of the documents, bounded by MOST."""
-    n = docs.count()
-    share = max(1, min(PART, n // PART_ROWS))
+    """(hashes sorted, counts) of the most frequent shingles, counted over all documents."""
+    parts = partitions(docs.sparkSession)
+    edges = np.array([(i << 64) // parts for i in range(1, parts)], np.uint64)
+
+    def dealt(held):
+        h, n = np.unique(np.concatenate(held), return_counts=True)
+        cut = np.concatenate(([0], np.searchsorted(h, edges), [len(h)])).tolist()
+        some = [(i, s, e) for i, (s, e) in enumerate(zip(cut, cut[1:])) if e > s]
+        n = n.astype(np.uint32)
+        columns = [pa.array([i for i, _, _ in some], pa.int32()), *(pa.array([x[s:e].tobytes() for _, s, e in some], pa.binary()) for x in (h, n))]
+        return pa.RecordBatch.from_arrays(columns, ["part", "h", "n"])
 
     def run(batches):
+        held, size = [], 0
         for b in batches:
             for t in b.column("text"):
-                yield pa.RecordBatch.from_arrays([pa.array(shingles(t.as_py(), shingle).view(np.int64))], ["h"])
-
-    part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).select("text").mapInArrow(tidy(run), "h long")
-    top = part.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "h").limit(MOST).collect()
-    h, c = np.array([r.h for r in top], np.int64).view(np.uint64), np.array([r.n for r in top], np.int64)
+                held.append(shingles(t.as_py(), shingle))
+                size += len(held[-1])
+                if size >= COMBINE:
+                    yield dealt(held)
+                    held, size = [], 0
+        if size:
+            yield dealt(held)
+
+    def total(batches):
+        held = {}
+        for b in batches:
+            for i, h, n in zip(b.column("part").to_pylist(), b.column("h"), b.column("n")):
+                held.setdefault(i, []).append((np.frombuffer(h.as_buffer(), np.uint64), np.frombuffer(n.as_buffer(), np.uint32)))
+        for i in list(held):
+            h, n = (np.concatenate(x) for x in zip(*held.pop(i)))
+            order = np.argsort(h)
+            h, n = h[order], n[order]
+            at = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+            h, n = h[at], np.add.reduceat(n, at, dtype=np.int64)
+            use = n >= FREQUENT
+            yield pa.RecordBatch.from_arrays([pa.array(h[use].view(np.int64)), pa.array(n[use])], ["h", "n"])
+
+    counts = docs.select("text").mapInArrow(tidy(run), "part int, h binary, n binary").repartition(parts, "part").mapInArrow(tidy(total), "h long, n long")
+    held = materialize(counts.orderBy(F.desc("n"), "h").limit(MOST))
+    top = held.toArrow()
+    drop(held)
+    h, c = top.column("h").to_numpy().view(np.uint64), top.column("n").to_numpy()
     order = np.argsort(h)
     return h[order], c[order]
 
