@@ -7,9 +7,11 @@ blocks of one bead's frames, in a task.
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -129,22 +131,37 @@ def all_lags(df: DataFrame, fraction: float = 0.5) -> int:
     return max(1, int(df.select("frame").distinct().count() * fraction))
 
 
-def block_sums(k: np.ndarray, at: np.ndarray, ok: np.ndarray, i: int, j: int, block: int):
-    """(lags, sums, pairs, counted) of one particle, from positions of block i to those of block j.
+def smooth(n: int) -> int:
+    """The smallest number of the form 2^a 3^b 5^c from n on: a length that FFT is quick at."""
+    odd = [3**b * 5**c for b in range(20) for c in range(14)]
+    return min(o << max(0, -(-n // o) - 1).bit_length() for o in odd)
 
-    k: frame numbers; at: positions (3 x rows); ok: rows without a null. pairs
+
+def block_sums(k: np.ndarray, at, ok: np.ndarray, i: int, j: int, block: int, most: int):
+    """(lags, sums, pairs, counted) of one particle, from positions of block i to those of block j; within a block, up to lag `most`.
+
+    k: frame numbers, used up; at: positions (3 arrays of rows); ok: rows without a null. pairs
     has all rows, counted those without a null, sums their squared distances.
     Over a lag these are m2 * q1 + q2 * m1 - 2 * p1 * p2 of the rows, squares
-    and positions of each frame, so all lags are correlations, by FFT.
+    and positions of each frame, so all lags are correlations, by FFT. A block
+    can be long: no more than three spectra are held at a time.
     """
-    first, second = k // block == i, k // block == j
-    x = np.where(ok, at, 0.0)
-    finite = ok & np.isfinite(x).all(axis=0)
-    x = np.where(finite, x, 0.0)
-    x -= np.where(finite, x.sum(axis=1, keepdims=True) / max(1, finite.sum()), 0.0)  # the same for both blocks: distances stay, squares get small
-    slots = k % block
+    first = second = slice(None)
+    if i != j:
+        first, second = k // block == i, k // block == j
+    finite = ok & np.logical_and.reduce([np.isfinite(c) for c in at])
+    slots = np.remainder(k, block, out=k)
     width = int(slots.max()) + 1
-    size, lags = 1 << (2 * width - 1).bit_length(), np.arange(1 if i == j else 1 - width, width)
+    lags = np.arange(1, min(width, most + 1)) if i == j else np.arange(1 - width, width)
+    size = smooth(width + len(lags) if i == j else 2 * width)  # what goes around the end meets no lag that is asked for
+    held = max(1, np.count_nonzero(finite))
+
+    def axis(c):
+        c = c.astype(float)
+        c[~finite] = 0.0
+        c -= c.sum() / held  # the same for both blocks: distances stay, squares get small
+        c[~finite] = 0.0
+        return c
 
     def spectrum(rows, weight):
         return np.fft.rfft(np.bincount(slots[rows], weight[rows], width), size)
@@ -153,52 +170,186 @@ def block_sums(k: np.ndarray, at: np.ndarray, ok: np.ndarray, i: int, j: int, bl
         return np.fft.irfft(total, size)[lags]
 
     def both(a, b):
-        return np.conj(spectrum(first, a.astype(float))) * spectrum(second, b.astype(float))
+        out = spectrum(first, a)
+        other = out.copy() if i == j and a is b else spectrum(second, b)
+        np.conj(out, out=out)
+        out *= other
+        return out
 
     def number(total):
         return np.rint(lagged(total)).astype(np.int64)
 
-    square = (x**2).sum(axis=0)
-    sums = np.maximum(0.0, lagged(both(finite, square) + both(square, finite) - 2 * sum(both(c, c) for c in x)))
-    pairs, counted = number(both(np.ones(len(k)), np.ones(len(k)))), number(both(ok, ok))
-    sums[number(both(finite, finite)) == 0] = 0.0
+    square = sum(axis(c) ** 2 for c in at)
+    total = both(finite, square)
+    total += both(square, finite)
+    del square
+    for c in at:
+        c = axis(c)
+        part = both(c, c)
+        part *= 2
+        total -= part
+        del c, part
+    sums = np.maximum(0.0, lagged(total))
+    del total
+    every = np.ones(len(k), bool)
+    pairs = number(both(every, every))
+    counted = pairs if ok.all() else number(both(ok, ok))
+    sums[(counted if (finite == ok).all() else number(both(finite, finite))) == 0] = 0.0
     if (ok & ~finite).any():
-        nan, inf = ok & np.isnan(at).any(axis=0), ok & np.isinf(at).any(axis=0)
+        nan, inf = ok & np.logical_or.reduce([np.isnan(c) for c in at]), ok & np.logical_or.reduce([np.isinf(c) for c in at])
         sums[number(both(inf, ok) + both(ok, inf)) > 0] = np.inf
-        same = sum(both(ok & (c == v), ok & (c == v)) for c in at for v in (np.inf, -np.inf))
+        same = sum(both(x, x) for c in at for v in (np.inf, -np.inf) for x in [ok & (c == v)])
         sums[number(both(nan, ok) + both(ok, nan) + same) > 0] = np.nan
     return lags + (j - i) * block, sums, pairs, counted
 
 
-def lagged_displacement(df: DataFrame, max_lag: int, by_molecule: bool = False, frame_interval: float = 1.0, block: int = 1 << 19) -> DataFrame:
+#: Rows that a task packs at a time.
+PACK = 1 << 19
+INTEGERS = {"tinyint", "smallint", "int", "bigint"}
+
+
+def shrunk(x: np.ndarray) -> bytes:
+    """Integers as zipped differences, in as many bytes as they need."""
+    d = np.diff(x, prepend=np.int64(0))
+    size = next(t for t in (np.int8, np.int16, np.int32, np.int64) if not len(d) or (np.iinfo(t).min <= d[1:].min(initial=0) and d[1:].max(initial=0) <= np.iinfo(t).max))
+    return int(np.dtype(size).itemsize).to_bytes(1) + d[:1].astype(np.int64).tobytes() + zlib.compress(d[1:].astype(size).tobytes(), 1)
+
+
+def grown(b: bytes) -> np.ndarray:
+    rest = np.frombuffer(zlib.decompress(b[9:]), f"i{b[0]}")
+    return np.cumsum(np.concatenate((np.frombuffer(b[1:9], np.int64), rest.astype(np.int64))))
+
+
+def packed(p: DataFrame, edges: list[int]) -> DataFrame:
+    """p (frame, particle, x, y, z) -> (particle, b, frames, at, single, nulls): rows of a particle and a block, as binaries.
+
+    Block b begins with the frame edges[b]. Positions take four bytes if that loses nothing.
+    """
+
+    def pack(held):
+        t = pa.Table.from_batches(held).combine_chunks()
+        who = t.column("particle").combine_chunks().dictionary_encode()
+        code, frame = who.indices.to_numpy(), t.column("frame").to_numpy()
+        b = np.searchsorted(np.array(edges), frame, side="right") - 1
+        order = np.lexsort((frame, b, code))
+        code, frame, b = code[order], frame[order], b[order]
+        ok = np.logical_and.reduce([t.column(a).is_valid().to_numpy() for a in AXES])[order]
+        at = np.stack([t.column(a).fill_null(0.0).to_numpy()[order] for a in AXES])
+        with np.errstate(over="ignore"):
+            small = at.astype(np.float32)
+        cut = np.flatnonzero(np.concatenate(([True], (code[1:] != code[:-1]) | (b[1:] != b[:-1])))).tolist()
+        out = []
+        for s, e in zip(cut, [*cut[1:], len(code)]):
+            single = np.array_equal(small[:, s:e], at[:, s:e], equal_nan=True)
+            out.append((int(b[s]), shrunk(frame[s:e]), (small if single else at)[:, s:e].tobytes(), single, None if ok[s:e].all() else np.packbits(~ok[s:e]).tobytes()))
+        columns = [pa.array(x, kind) for x, kind in zip(zip(*out), (pa.int64(), pa.binary(), pa.binary(), pa.bool_(), pa.binary()))]
+        return pa.RecordBatch.from_arrays([who.dictionary.take(pa.array(code[cut])), *columns], ["particle", "b", "frames", "at", "single", "nulls"])
+
+    def run(batches):
+        held, size = [], 0
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                size += b.num_rows
+            if size >= PACK:
+                yield pack(held)
+                held, size = [], 0
+        if size:
+            yield pack(held)
+
+    return p.mapInArrow(run, f"particle {dict(p.dtypes)['particle']}, b long, frames binary, at binary, single boolean, nulls binary")
+
+
+def unpacked(t: pa.Table):
+    """(frames, the three axes, rows without a null) of packed rows."""
+    frames, at, ok = [], ([], [], []), []
+    for f, a, single, nulls in zip(t.column("frames"), t.column("at"), t.column("single").to_pylist(), t.column("nulls").to_pylist()):
+        frames.append(grown(f.as_py()))
+        n = len(frames[-1])
+        for held, c in zip(at, np.frombuffer(a.as_buffer(), np.float32 if single else np.float64).reshape(3, n)):
+            held.append(c)
+        ok.append(np.ones(n, bool) if nulls is None else ~np.unpackbits(np.frombuffer(nulls, np.uint8), count=n).astype(bool))
+    return np.concatenate(frames), [np.concatenate(c) for c in at], np.concatenate(ok)
+
+
+def lagged_displacement(df: DataFrame, max_lag: int, by_molecule: bool = False, frame_interval: float = 1.0, block: int = 1 << 22, part: int = 1 << 10) -> DataFrame:
     """What displacement() returns, for many lags: nothing is made for each pair of frames.
 
     A particle's frames are cut into blocks; every two blocks within max_lag meet
-    in one group, which gives a sum for each lag between them.
+    in one group, which gives a sum for each lag between them. Rows are packed
+    before they are dealt out, and so are the sums, of `part` lags each. A row goes to as many groups
+    as its block meets: to one, if there is one block.
     """
     p = centre_of_mass(df, "frame", "mol").withColumnRenamed("mol", "particle") if by_molecule else df.select("frame", F.col("bead").alias("particle"), *AXES)
-    ranks = p.select("frame").distinct().withColumn("k", (F.row_number().over(W.orderBy("frame")) - 1).cast("long"))
-    b, reach = F.floor(F.col("k") / block).cast("long"), (max_lag - 1) // block + 1
-    p = p.where("particle is not null").join(ranks, "frame").select("k", "particle", *[F.col(a).cast("double").alias(a) for a in AXES], b.alias("b"))
-    last = ranks.agg(F.floor(F.max("k") / block).cast("long").alias("last"))
-    p = p.crossJoin(F.broadcast(last))  # one row
+    if dict(p.dtypes)["frame"] not in INTEGERS:
+        p = p.join(p.select("frame").distinct().withColumn("k", F.row_number().over(W.orderBy("frame"))), "frame").select(F.col("k").alias("frame"), "particle", *AXES)
+    p = p.where("frame is not null").select(F.col("frame").cast("long"), "particle", *[F.col(a).cast("double").alias(a) for a in AXES])
+    frames = p.select("frame").distinct()
+    n, low, high = frames.agg(F.count(F.lit(1)), F.min("frame"), F.max("frame")).first()
+    gapless = n == 0 or high - low + 1 == n
+    if gapless or n <= block:
+        edges = list(range(low or 0, (low or 0) + n, block)) if gapless else [low]
+    else:
+        ranks = frames.withColumn("k", F.row_number().over(W.orderBy("frame")) - 1)
+        edges = [r.frame for r in ranks.where(F.col("k") % block == 0).orderBy("k").collect()]
+    reach, last = (max_lag - 1) // block + 1, max(0, len(edges) - 1)
+    p = p.where("particle is not null")
+    rows = packed(p, edges).withColumn("list", F.lit(False))
+    if not gapless:  # a task then needs the frames of its blocks, to number its own
+        lists = packed(frames.select("frame", F.lit(0).alias("particle"), *[F.lit(0.0).alias(a) for a in AXES]), edges).withColumn("at", F.lit(None).cast("binary"))
+        rows = rows.union(p.select("particle").distinct().crossJoin(lists.drop("particle")).select("particle", "b", "frames", "at", "single", "nulls", F.lit(True)))
     meets = F.concat(
-        F.transform(F.sequence("b", F.least("last", F.col("b") + reach)), lambda j: F.struct(F.col("b").alias("i"), j.alias("j"))),
-        F.transform(F.filter(F.sequence(F.greatest(F.lit(0), F.col("b") - reach), "b"), lambda i: i < F.col("b")), lambda i: F.struct(i.alias("i"), F.col("b").alias("j"))),
+        F.transform(F.sequence("b", F.least(F.lit(last), F.col("b") + reach)), lambda j: F.struct(F.col("b").alias("i"), j.cast("long").alias("j"))),
+        F.transform(F.filter(F.sequence(F.greatest(F.lit(0), F.col("b") - reach), "b"), lambda i: i < F.col("b")), lambda i: F.struct(i.cast("long").alias("i"), F.col("b").alias("j"))),
     )
-    p = p.withColumn("c", F.explode(meets)).select("particle", "c.i", "c.j", "k", *AXES)
+    rows = rows.withColumn("c", F.explode(meets)).select("particle", "c.i", "c.j", "b", "frames", "at", "single", "nulls", "list")
+
+    def numbered(frame, lists):
+        """The places of frames among all of them, counted from the first block's on."""
+        if gapless:
+            return np.subtract(frame, edges[0], out=frame)
+        out = np.zeros(len(frame), np.int64)
+        owner = np.searchsorted(np.array(edges), frame, side="right") - 1
+        for b, held in lists.items():
+            mine = owner == b
+            out[mine] = b * block + np.searchsorted(np.sort(np.concatenate(held)), frame[mine])
+        return out
 
     def run(key, t):
-        at = [t.column(a) for a in AXES]
-        ok = np.logical_and.reduce([c.is_valid().to_numpy() for c in at])
-        at = np.stack([c.fill_null(0.0).to_numpy() for c in at])
-        found = block_sums(t.column("k").to_numpy(), at, ok, key[1].as_py(), key[2].as_py(), block)
-        use = (found[0] >= 1) & (found[0] <= max_lag) & (found[2] > 0)
-        return pa.table([pa.array(f[use]) for f in found], ["lag", "s", "pairs", "counted"])
-
-    sums = p.groupBy("particle", "i", "j").applyInArrow(run, "lag long, s double, pairs long, counted long")
-    msd = F.try_divide(F.sum("s"), F.sum("counted"))
-    return sums.groupBy(F.col("lag").cast("int").alias("lag")).agg(msd.alias("msd"), F.sum("pairs").alias("n")).withColumn("lag_time", F.col("lag") * frame_interval)
+        lists = {}
+        if not gapless:
+            for b, f in zip(*(t.filter(t.column("list")).column(c).to_pylist() for c in ("b", "frames"))):
+                lists.setdefault(b, []).append(grown(f))
+            t = t.filter(pa.compute.invert(t.column("list")))
+        out = {x: [] for x in ("part", "start", "s", "pairs", "counted")}
+        if t.num_rows:
+            frame, at, ok = unpacked(t)
+            i, j = key[1].as_py(), key[2].as_py()
+            frame = numbered(frame, lists)
+            found = block_sums(frame, at, ok, i, j, block, max_lag)
+            use = np.flatnonzero((found[0] >= 1) & (found[0] <= max_lag) & (found[2] > 0))
+            if len(use):  # lags without a pair have sums of 0
+                lag, s, pairs, counted = (f[use[0] : use[-1] + 1] for f in found)
+                cut = [0, *(np.flatnonzero(lag[1:] // part != lag[:-1] // part) + 1).tolist(), len(lag)]
+                for x, y in zip(cut, cut[1:]):
+                    for c, v in zip(out, (lag[x] // part, lag[x] % part, s[x:y].tobytes(), shrunk(pairs[x:y]), shrunk(counted[x:y]))):
+                        out[c].append(v)
+        return pa.table([pa.array(v, kind) for v, kind in zip(out.values(), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], list(out))
+
+    def total(key, t):
+        s, pairs, counted = np.zeros(part), np.zeros(part, np.int64), np.zeros(part, np.int64)
+        for start, a, b, c in zip(t.column("start").to_pylist(), t.column("s"), t.column("pairs"), t.column("counted")):
+            a = np.frombuffer(a.as_buffer())
+            here = slice(start, start + len(a))
+            s[here] += a
+            pairs[here] += grown(b.as_py())
+            counted[here] += grown(c.as_py())
+        use = np.flatnonzero(pairs)
+        msd = s[use] / np.maximum(1, counted[use])
+        return pa.table([pa.array(key[0].as_py() * part + use, pa.int32()), pa.array(msd, mask=counted[use] == 0), pa.array(pairs[use])], ["lag", "msd", "n"])
+
+    sums = rows.groupBy("particle", "i", "j").applyInArrow(run, "part long, start long, s binary, pairs binary, counted binary")
+    return sums.groupBy("part").applyInArrow(total, "lag int, msd double, n long").withColumn("lag_time", F.col("lag") * frame_interval)
 
 
 def whole_displacement(df: DataFrame, by_molecule: bool = False) -> DataFrame:
@@ -238,10 +389,10 @@ def _rdf(rmax: float, bins: int, a: str, b: str) -> str:
 ORACLES = {
     "traj_scan": f"WITH {src.TRAJ_SQL} SELECT mol, type, count(*) AS n, round(sum(x), 6) AS sx, round(sum(z), 6) AS sz FROM traj GROUP BY mol, type",
     "msd_com": f"WITH {src.TRAJ_SQL} SELECT frame, mol, " + ", ".join(f"round(sum(mass * {a}) / sum(mass), 9) AS {a}" for a in AXES) + " FROM traj GROUP BY frame, mol",
-    "compute_rg": f"""WITH {_LATE}, c AS (SELECT *, sum(mass * x) OVER w / sum(mass) OVER w AS cx, sum(mass * y) OVER w / sum(mass) OVER w AS cy, sum(mass * z) OVER w / sum(mass) OVER w AS cz FROM late WINDOW w AS (PARTITION BY frame, mol)),
+    "compute_rg": f"""WITH {_LATE}, c AS (SELECT *, sum(mass * x) OVER w / sum(mass) OVER w AS cx, sum(mass * y) OVER w / sum(mass) OVER w AS cy, sum(mass * z) OVER w / sum(mass) OVER w AS cz FROM late WINDOW w AS (partITION BY frame, mol)),
         g AS (SELECT frame, mol, sqrt(sum(mass * ((x - cx) ** 2 + (y - cy) ** 2 + (z - cz) ** 2)) / sum(mass)) AS rg FROM c GROUP BY frame, mol), f AS (SELECT frame, avg(rg) AS m, count(*) AS k FROM g GROUP BY frame)
         SELECT round(avg(rg), 9) AS value, round(stddev_samp(rg) / sqrt(greatest(1, count(*) - 1)), 9) AS std, (SELECT round(max_by(m, frame) - min_by(m, frame), 9) FROM f) AS drift, (SELECT count(*) FROM f) AS n_frames, (SELECT max(k) FROM f) AS n_chains FROM g""",
-    "compute_ree": f"""WITH {_LATE}, s AS (SELECT frame, mol, """ + ", ".join(f"{a} - lag({a}) OVER w AS d{a}" for a in AXES) + """ FROM late WINDOW w AS (PARTITION BY frame, mol ORDER BY bead)),
+    "compute_ree": f"""WITH {_LATE}, s AS (SELECT frame, mol, """ + ", ".join(f"{a} - lag({a}) OVER w AS d{a}" for a in AXES) + """ FROM late WINDOW w AS (partITION BY frame, mol ORDER BY bead)),
         e AS (SELECT frame, mol, sqrt(""" + " + ".join(f"coalesce(sum(d{a} - round_even(d{a}, 0)), 0) ** 2" for a in AXES) + """) AS ree FROM s GROUP BY frame, mol)
         SELECT round(avg(ree), 9) AS value, round(stddev_samp(ree) / sqrt(greatest(1, count(*) - 1)), 9) AS std, count(*) AS n_samples, count(DISTINCT mol) AS n_chains FROM e""",
     "msd": f"WITH {src.TRAJ_SQL}, p AS (SELECT *, bead AS particle, dense_rank() OVER (ORDER BY frame) AS k FROM traj) {_MSD}",
