@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import sys
 import tempfile
@@ -67,6 +68,23 @@ def materialize(df: DataFrame, *by: str, **options: str) -> DataFrame:
     return out
 
 
+@contextlib.contextmanager
+def no_broadcasts(spark: SparkSession):
+    """What is planned inside joins by sorting, but for hints.
+
+    The driver builds each broadcast's table in its own memory, with a thread
+    for it and others to send and remove it, which live on for a minute.
+    """
+    held = {k: spark.conf.get(k, None) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")}
+    for k in held:
+        spark.conf.set(k, "-1")
+    try:
+        yield
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
 def drop(*frames: DataFrame) -> None:
     """Delete what materialize() wrote, once nothing lazy reads it any more."""
     for df in frames:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .buckets import cells, whole_cells
-from .common import drop, materialize, partitions, tidy
+from .common import drop, materialize, no_broadcasts, partitions, tidy
 from .components import components
 from .simhash import hashes, majority
 from .simhash import links as simhash_links
@@ -288,13 +288,16 @@ def links(docs: DataFrame, names: DataFrame, classes: DataFrame, shingle: int, b
 def near_duplicates(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """(doc_id, component_id): component_id the smallest doc_id reachable over links."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
-    names = materialize(named(docs, shingle))
-    classes = materialize(names.groupBy("k", "n", "fp").agg(F.min("doc_id").alias("rep")))
-    edges = links(docs, names, classes, shingle)
-    a, b = (classes.select(F.col("k").alias(x), F.col("rep").alias("r" + x)) for x in "ab")
-    comp = components(edges.join(a, "a").join(b, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
-    group = classes.join(comp, classes.rep == comp.node, "left").select("k", F.coalesce("component", "rep").alias("component_id"))
-    return names.select("doc_id", "k").join(group, "k").select("doc_id", "component_id")
+    with no_broadcasts(docs.sparkSession):
+        names = materialize(named(docs, shingle))
+        classes = materialize(names.groupBy("k", "n", "fp").agg(F.min("doc_id").alias("rep")))
+        edges = links(docs, names, classes, shingle)
+        a, b = (classes.select(F.col("k").alias(x), F.col("rep").alias("r" + x)) for x in "ab")
+        comp = components(edges.join(a, "a").join(b, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+        group = classes.join(comp, classes.rep == comp.node, "left").select("k", F.coalesce("component", "rep").alias("component_id"))
+        found = materialize(names.select("doc_id", "k").join(group, "k").select("doc_id", "component_id"))
+        drop(names, classes, edges, comp)
+    return found
 
 
 def deduplicate(docs: DataFrame, shingle: int = 5) -> DataFrame:
@@ -302,5 +305,5 @@ def deduplicate(docs: DataFrame, shingle: int = 5) -> DataFrame:
 
     Rows that repeat a kept doc_id, and rows with a null one, stay.
     """
-    gone = near_duplicates(docs, shingle).where("doc_id <> component_id").select(F.col("doc_id").alias("_lodestream_gone")).distinct()
+    gone = near_duplicates(docs, shingle).where("doc_id <> component_id").select(F.col("doc_id").alias("_lodestream_gone")).distinct().hint("merge")
     return docs.join(gone, F.col("doc_id") == F.col("_lodestream_gone"), "left_anti")
